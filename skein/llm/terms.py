@@ -42,7 +42,7 @@ def _count(shared: str, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = _scratch(shared)
         con = _connect(folder)
-        con.execute("create table acc (field varchar, term varchar, n_occurrences bigint, n_records bigint)")
+        con.execute("create table acc (field varchar, term varchar, n_occurrences bigint, n_records bigint)").fetchall()
         out = f"select (hash(term) >> {64 - RADIX_BITS})::int bits, field, term, (hash(term) // 2)::bigint hash, sum(n_occurrences)::bigint n_occurrences, sum(n_records)::bigint n_records from acc group by field, term"
         rows = 0
         try:
@@ -50,11 +50,11 @@ def _count(shared: str, held: int):
                 part = pa.table({"field": batch.column(0), "terms": batch.column(1)})  # noqa: F841
                 con.execute("""insert into acc select field, term, sum(n), count(*) from (
                     select r, field, term, count(*) n from (select row_number() over () r, field, unnest(terms) term from part)
-                    where term is not null group by r, field, term) group by field, term""")
+                    where term is not null group by r, field, term) group by field, term""").fetchall()
                 rows += len(batch)
-                if con.execute("select count(*) from acc").fetchone()[0] > held:
+                if con.execute("select count(*) from acc").fetchall()[0][0] > held:
                     yield from con.sql(out).to_arrow_table().to_batches(50_000)
-                    con.execute("delete from acc")
+                    con.execute("delete from acc").fetchall()
             yield from con.sql(out).to_arrow_table().to_batches(50_000)
         finally:
             con.close()
