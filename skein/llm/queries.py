@@ -9,7 +9,7 @@ from ..functions.names import clean_name, clean_names, leading_word, sql_name, s
 from ..operators.graph import connected_components
 from ..sources.shared import written
 from ..sources.tables import first_delivery, table
-from . import cooccurrence, neardup, subsequences, terms
+from . import cooccurrence, neardup, packing, residue, subsequences, terms, tokenize
 
 MAX_GAP, LENGTHS, WINDOW, LEAST_WINDOWS, SIMILARITY = 5, (3, 4), 3, 20, 0.7
 
@@ -92,7 +92,45 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pairs(spark, d).select("premise_a", "premise_b")
 
 
-QUERIES = {f.__name__: f for f in (p3_terms, p3_found, p4_patterns, p4_found, p5_found, p5_groups, p6_pairs, p6_found)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.encoded(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again, from their ids; empty for a null text."""
+    return tokenize.decoded(p7_ids(spark, d))
+
+
+def p7_words(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct word with its ids and occurrences."""
+    return tokenize.word_table(table(spark, d, "documents").select("text"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each text, or of each piece of a text beyond 2,048 tokens."""
+    return packing.packed(tokenize.token_counts(table(spark, d, "documents").select("doc_id", "text")))
+
+
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, their least possible number by the sum of tokens, and the share of room that is filled."""
+    per = p8_containers(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("n_containers"), F.ceil(F.sum("n") / packing.CAPACITY).alias("least_possible"), F.max("n").alias("fullest"), (F.sum("n") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("filled"))
+
+
+def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_reasons(spark, d).select("doc_id").distinct()
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The table without the documents that hold residue."""
+    return table(spark, d, "documents").join(p9_found(spark, d), "doc_id", "left_anti")
+
+
+QUERIES = {f.__name__: f for f in (p3_terms, p3_found, p4_patterns, p4_found, p5_found, p5_groups, p6_pairs, p6_found, p7_ids, p7_decoded, p7_words, p8_containers, p8_summary, p9_reasons, p9_found, p9_clean)}
 
 _TERMS = f"""steps as (select step_id, arg_min(coalesce(tactic, ''), ord) tactic from tactic_steps where step_id is not null group by 1),
 records as (
@@ -137,5 +175,6 @@ SQL = {
     "p4_found": f"with {_PATTERNS} select step_pattern from found",
     "p5_found": f"with {_WINDOWS} select * from found",
     "p6_pairs": f"with {_PAIRS} select *, round(n_common::double * n / (n_a::double * n_b), 9) lift, round(2 * ({_LLR}), 6) llr from found",
+    "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p6_found": f"with {_PAIRS} select premise_a, premise_b from found",
 }
