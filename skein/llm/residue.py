@@ -43,7 +43,8 @@ LEAST_WORDS, FILLER_SHARE, LEXICON_SHARE, REPEATS, SHORT, SLOT_WORDS, HELD_WORDS
 
 def _patterns() -> dict[str, re.Pattern]:
     name = r"([A-Za-z][\w.]*(?: [\w.]+)?)"
-    ask = rf"[\[(<](?:{'|'.join(ASK_BEFORE)})\s([^\[\]()<>\n]{{1,40}}?)[\])>]|[\[(<]([^\[\]()<>\n]{{1,30}}?)\s(?:{'|'.join(ASK_AFTER)})[\])>]"
+    before, after = "|".join(ASK_BEFORE), "|".join(ASK_AFTER)
+    ask = rf"[\[(<](?:{before})\s([^\[\]()<>\n]{{1,40}}?)(?:\s(?:{after}))?[\])>]|[\[(<]([^\[\]()<>\n]{{1,30}}?)\s(?:{after})[\])>]"
     return {
         "slot": re.compile("|".join(d.replace("N", name) for d in DELIMITERS) + "|(?i:" + ask + ")"),
         "fence": re.compile(r"```.*?(?:```|\Z)", re.S),
