@@ -67,6 +67,12 @@ def labelled(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
     return labels.labels(labels.distribution(members(spark, d, s), ["cid"]), ["cid"])
 
 
+def recorded_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The labels as an earlier run recorded them, in the shape of ``labelled``."""
+    mods = F.transform("top_modules", lambda m: F.struct(m["module_name"].alias("module"), m["cnt"].alias("cnt")))
+    return table(spark, d, "cluster_labels").select("cid", "label", "dominant_module", "dominant_fraction", "entropy", "norm_entropy", "is_mixed", F.col("cluster_size").alias("size"), mods.alias("top_modules"))
+
+
 def event_sequences(spark: SparkSession, d: str) -> DataFrame:
     """``name, cid, items``: the event types of each user in order; the cluster is the user's id modulo 10."""
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("items"))
@@ -100,5 +106,8 @@ ABSTRACT = f"""dt as (select tactic, {sql_normalised('tactic')} as n from (selec
 ab as (select name, coalesce(list(n order by step_no, step_id) filter (n <> ''), []) items from st join dt using (tactic) group by 1)"""
 GRAPH = ",\n".join([ST, CORPUS, EDGES, NODES, CLUSTERS])
 ALL = f"{GRAPH},\n{LABELS}"
-MODULE = sql_module_of
+RECORDED = f"""{GRAPH},
+lab as (select *, cluster_size size from cluster_labels),
+tmod as (select cid, m.cnt cnt from (select cid, unnest(top_modules) m from cluster_labels)),
+pure as (select cid from lab where not is_mixed and round(dominant_fraction, 3) >= 0.5)"""
 EVENTS = "es as (select user_id::varchar as name, (user_id % 10)::int cid, list(event_type order by ts, event_id) items from events group by user_id)"

@@ -219,13 +219,14 @@ def source_labels(spark, d):
 
 @query
 def anchor_extract(spark, d):
-    t = table(spark, d, "tactic_steps").select("ord", F.explode(text.anchors(F.regexp_replace("tactic", "<(/?)[a-z]+>", "<$1a>"))).alias("anchor"))
+    """Contents of anchors; line breaks count as blanks here, as an anchor ends at its line."""
+    t = table(spark, d, "tactic_steps").select("ord", F.explode(text.anchors(F.translate("tactic", "\n", " "))).alias("anchor"))
     return t.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def anchor_clean(spark, d):
-    return table(spark, d, "tactic_steps").where("tactic like '%<%'").select("ord", text.without_anchors("tactic").alias("tactic"))
+    return table(spark, d, "tactic_steps").where("tactic like '%<%'").select("ord", text.without_anchors(F.translate("tactic", "\n", " ")).alias("tactic"))
 
 
 @query
@@ -320,9 +321,9 @@ def event_sweep(spark, d):
 
 
 def _graph(spark, d):
-    """Edges, clusters, labels and pure clusters, each computed once."""
+    """Steps and edges, each computed once, clusters, recorded labels and pure clusters."""
     s = written(base.steps(spark, d))
-    labelled = written(base.labelled(spark, d, s))
+    labelled = base.recorded_labels(spark, d)
     return s, written(base.edges(s)), base.clusters(spark, d), labelled, labels.pure(labelled).select("cid")
 
 
@@ -414,7 +415,7 @@ def edit_bridges(spark, d):
     s = written(base.steps(spark, d))
     p = written(base.abstract_proofs(s).where(F.size("items") >= similarity.LEAST_STEPS).join(base.clusters(spark, d), "name"))
     c = written(similarity.coded(similarity.top_proofs(p, similarity.top_clusters(p))))
-    return similarity.edit_bridges(c, base.labelled(spark, d, s)).drop("seq_a", "seq_b")
+    return similarity.edit_bridges(c, base.recorded_labels(spark, d)).drop("seq_a", "seq_b")
 
 
 # validation
@@ -436,7 +437,7 @@ def bridge_span(spark, d):
 def validation_summary(spark, d):
     c = base.clusters(spark, d)
     found = validation.matches(c.select("name"), validation.patterns(spark, SIDES))
-    made = validation.summary(found, c, base.labelled(spark, d, base.steps(spark, d)))
+    made = validation.summary(found, c, base.recorded_labels(spark, d))
     return made.select("bridge", "side", "cid", "label", "n_matches", joined("theorems").alias("theorems"))
 
 
@@ -488,7 +489,7 @@ def integration(spark, d):
 
 @query
 def differentiation(spark, d):
-    return complexity.differentiation(base.labelled(spark, d, base.steps(spark, d))).select("cid", r6("differentiation").alias("differentiation"))
+    return complexity.differentiation(base.recorded_labels(spark, d)).select("cid", r6("differentiation").alias("differentiation"))
 
 
 @query
