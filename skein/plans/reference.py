@@ -11,6 +11,7 @@ from ..functions.paths import module_of, second_part, top_module
 from ..operators import bridges, charts, community, complexity, graph, labels, ngrams, reports, similarity, validation
 from ..sources.shared import written
 from ..sources.tables import table
+from ..streaming import arrivals
 from . import base
 
 QUERIES: dict = {}
@@ -551,3 +552,10 @@ def plot_complexity(spark, d):
 def label_report(spark, d):
     lab = base.labelled(spark, d, base.steps(spark, d))
     return reports.lines(lab, [F.desc("size"), F.col("cid")], "%3d  C%-4d %6d  %s", F.col("cid"), F.col("size"), reports.shortened("label"))
+
+
+@query
+def event_windows(spark, d):
+    """Events per hour and type, the batch form of the stream."""
+    made = arrivals.event_windows(table(spark, d, "events"))
+    return made.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))

@@ -181,4 +181,5 @@ select cid_a, cid_b, round(0.3 + 2.5 * (weight - lo) / (hi - lo + 1e-12), 6) wid
     "plot_hierarchy": f"""with {_HIER} select top, sub::int sub, bar, total, round(fraction, 6) fraction, round(coalesce(sum(fraction) over (partition by top order by cnt desc, sub rows between unbounded preceding and 1 preceding), 0), 6) as left, case when fraction > 0.08 then label end shown_label from fr""",
     "plot_complexity": f"with {RECORDED}, {_NC} select cid, greatest(20, 5 * total_bridge_connections) marker_size, round(neural_complexity, 6) + 0.0 neural_complexity, row_number() over (order by round(neural_complexity, 9) desc, cid) <= 20 in_bars from nc",
     "label_report": f"""with {ALL}, t as (select *, row_number() over (order by size desc, cid) r from lab) select r::int rank, printf('%3d  C%-4d %6d  %s', r, cid, size, case when len(label) > 57 then label[1:54] || '...' else label end) line from t where r <= 40""",
+    "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') start, event_type, count(*) n, round(sum(value), 3) total from events group by 1, 2",
 }
