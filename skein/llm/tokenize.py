@@ -147,7 +147,8 @@ def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
 def decoded(ids: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, text`` of ``doc_id, ids``: pieces joined by id (the vocabulary is broadcast: its size is fixed), put in order."""
     rows = written(ids.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids"))
-    placed = rows.select("row", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces(ids.sparkSession, path)), "id")
+    # whole lists are spread by row, so what is exploded and put together again below isn't shuffled a second time
+    placed = rows.repartition("row").select("row", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces(ids.sparkSession, path)), "id")
     texts = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))).alias("p"))
     texts = texts.select("row", F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")), "UTF-8").alias("text"))
     return rows.select("row", "doc_id").join(texts, "row", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
