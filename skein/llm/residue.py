@@ -8,9 +8,9 @@ value, names, numbers), and aligned with all other records of the same template
 * a page in the form of a server's answer is residue if its form recurs; its slot gives the messages of that server, and
   a sentence elsewhere that is one of these messages as a whole is residue too;
 * a notice about scripts is aligned over one free slot (the thing that can't be shown), and is residue if its template
-  recurs, if it stands in a noscript element, or if it is the whole text;
-* filler is told by words that occur in sentences of known filler words and hardly anywhere else, or by one short sentence
-  repeated over and over.
+  recurs, if it stands in a noscript element, or if it is the whole text; what noscript elements say is a notice elsewhere;
+* filler is told by words that occur in sentences of known filler words and hardly anywhere else, by one short sentence
+  repeated over and over, or by a stock sentence that a good part of the records that have it repeat.
 
 A code span that is nothing but a placeholder, quoted text, and code blocks around messages only speak about such things.
 """
@@ -33,12 +33,12 @@ SEEDS = frozenset("lorem ipsum dolor amet asdf qwer qwerty foo bar bla blah xxx"
 DELIMITERS = [r"\{\{\s*N\s*\}\}", r"\$!?\{\s*N\s*\}", r"#\{\s*N\s*\}", r"<<\s*N\s*>>", r"<%=?\s*N\s*%>", r"\{%\s*N\s*%\}", r"@@\s*N\s*@@", r"__N__", r"%\(N\)s", r"%N%", r"\[\[\s*N\s*\]\]"]
 #: Words of a request to fill in a value, before or after its name.
 ASK_BEFORE = "your insert enter add bitte hier ihr ihre remplir insérer compléter votre completar insertar rellenar introducir su".split()
-ASK_AFTER = ["goes here", "here", "ergänzen", "einfügen", "eintragen", "ausfüllen", "ici", "aquí"]
+ASK_AFTER = ["goes here", "here", "ergänzen", "einfügen", "eintragen", "ausfüllen", "ici", "à compléter", "à remplir", "aquí", "por completar"]
 #: What a notice says is needed.
 SCRIPTS = r"(?i)\b(?:javascript|js|scripts?|skripte?n?)\b"
 
 EVIDENCE = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("key", pa.string()), ("sub", pa.string()), ("n", pa.int64()), ("m", pa.int64())])
-LEAST_WORDS, FILLER_SHARE, LEXICON_SHARE, REPEATS, SHORT, SLOT_WORDS, HELD_WORDS = 4, 0.6, 0.5, 3, 60, 4, 200_000
+LEAST_WORDS, FILLER_SHARE, LEXICON_SHARE, REPEATS, SHORT, SLOT_WORDS, HELD_WORDS, STOCK_SHARE = 4, 0.35, 0.5, 3, 60, 4, 200_000, 0.25
 
 
 def _patterns() -> dict[str, re.Pattern]:
@@ -59,7 +59,8 @@ def _patterns() -> dict[str, re.Pattern]:
 
 
 def _plain(s: str) -> str:
-    return " ".join(re.sub(r"[\W_]+", " ", re.sub(r"\([0-9a-f]{4,}\)", " ", s.lower())).split())
+    bare = re.sub(r"^\W*(?:error|erreur|fehler)\s+\d{3}\W+|\([0-9a-f]{4,}\)", " ", s.lower())  # a status before it, a number after it
+    return " ".join(re.sub(r"[\W_]+", " ", bare).split())
 
 
 def _number(s: str) -> int:
@@ -107,7 +108,10 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(SLOT_WORDS + 1):
                     if (k == 0 and i == 0) or (0 < k <= len(w) - i and len(w) - k >= LEAST_WORDS - 1 and "jj" not in w[i : i + k]):
                         yield "notice", doc, " ".join([*w[:i], *["_"] * (k > 0), *w[i + k :]]), None, int(alone), 0
-        run = 1
+        for x in inside:
+            yield "notice", doc, "", None, 1, 0
+            yield "told", doc, None, None, _number(_plain(x)), 0
+        run, longest = 1, {}
         for i, s in enumerate(sentences):
             if "◊" in s:
                 run = 1
@@ -121,9 +125,12 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen = words.setdefault(x, [0, 0])
                 seen[0] += 1
                 seen[1] += len(known) > 1
-            if len(w) >= LEAST_WORDS and len(known) > 1:
+            if len(w) >= LEAST_WORDS and (known or (len(w) >= 2 * LEAST_WORDS and len(set(w)) <= 0.8 * len(w))):
                 yield "filler", doc, str(i), " ".join(w), 0, 0
-            yield "sentence", doc, None, None, _number(_plain(s)), 0
+            plain = _plain(s)
+            longest[plain] = max(run if len(w) > 1 else 1, longest.get(plain, 1))
+        for plain, times in longest.items():
+            yield "sentence", doc, None, None, _number(plain), times
 
     for b in batches:
         rows: list[tuple] = []
@@ -157,12 +164,17 @@ def residue(documents: DataFrame) -> DataFrame:
         placeholders = placeholders.unionByName(slots.join(recurring(slots, c), c, "left_semi").select("doc_id"))
     pages = kind("page").join(recurring(kind("page"), "key"), "key", "left_semi")
     messages = pages.where("sub <> ''").select(F.col("n").alias("number")).distinct()
-    errors = pages.select("doc_id").unionByName(kind("sentence").join(messages, F.col("n") == F.col("number"), "left_semi").select("doc_id"))
+    sentences = kind("sentence")
+    errors = pages.select("doc_id").unionByName(sentences.join(messages, F.col("n") == F.col("number"), "left_semi").select("doc_id"))
     notices = kind("notice")
     scripts = notices.where("n = 1").select("doc_id").unionByName(notices.join(recurring(notices, "key"), "key", "left_semi").select("doc_id"))
+    told = kind("told").select(F.col("n").alias("number")).distinct()
+    scripts = scripts.unionByName(sentences.join(told, F.col("n") == F.col("number"), "left_semi").select("doc_id"))
+    # m: how often in a row; stock filler is doubled in two documents at least, and in a good part of those that have it
+    stock = sentences.groupBy("n").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("m") > 1).alias("doubled")).where(f"doubled > 1 and doubled >= {STOCK_SHARE} * docs").select(F.col("n").alias("number"))
     lexicon = kind("word").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(f"m >= {LEXICON_SHARE} * n").select(F.col("key").alias("word"))
     said = kind("filler").select("doc_id", "key", F.explode(F.split("sub", " ")).alias("word"))
     known = said.join(lexicon.withColumn("known", F.lit(1)), "word", "left").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k"))
-    filler = known.where(f"k >= {FILLER_SHARE} * n").select("doc_id").unionByName(kind("repeated").select("doc_id"))
+    filler = known.where(f"k >= {FILLER_SHARE} * n").select("doc_id").unionByName(kind("repeated").select("doc_id")).unionByName(sentences.join(stock, F.col("n") == F.col("number"), "left_semi").select("doc_id"))
     named = [d.select("doc_id", F.lit(r).alias("reason")) for d, r in ((placeholders, "placeholder"), (errors, "error_page"), (scripts, "script_notice"), (filler, "filler"))]
     return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3]).distinct()
