@@ -84,18 +84,19 @@ def sql_collapsed(e: str) -> str:
 
 
 def sql_normalised(e: str) -> str:
-    """``normalised`` in SQL without lookaround: word runs get marks at both ends, and each rule cuts the marked text to
-    its matches and single characters, which are replaced one by one."""
-    s, k = "[\x01\x02]", ", ".join("'" + w.replace("'", "''") + "'" for w in KEYWORDS)
+    """``normalised`` in SQL without lookaround: every word boundary gets two marks, of which a match takes the second at its
+    start and the first at its end, so neighbours can share one. Each rule cuts the marked text to its matches and single
+    characters, which are replaced one by one."""
+    s, k = "(?:\x01\x02)?", ", ".join("'" + w.replace("'", "''") + "'" for w in KEYWORDS)
     rules = [
-        (rf"\x01(?:[A-Za-z](?:{s}?[A-Za-z0-9_''])*(?:{s}?\.(?:{s}?[A-Za-z0-9_''])+)+|[A-Z](?:{s}?[A-Za-z0-9_'']){{3,}}){s}", "@", False),
-        (rf"\x01[a-z](?:{s}?[a-z0-9''])*(?:{s}?_(?:{s}?[a-z0-9''])+)+{s}", "@", True),
-        (rf"\x01[a-z](?:{s}?[a-z0-9'']){{0,3}}{s}", "?", True),
-        (r"\x01\p{Nd}+\x02", "#", False),
+        (rf"\x02(?:[A-Za-z](?:{s}[A-Za-z0-9_''])*(?:{s}\.(?:{s}[A-Za-z0-9_''])+)+|[A-Z](?:{s}[A-Za-z0-9_'']){{3,}})\x01", "@", False),
+        (rf"\x02[a-z](?:{s}[a-z0-9''])*(?:{s}_(?:{s}[a-z0-9''])+)+\x01", "@", True),
+        (rf"\x02[a-z](?:{s}[a-z0-9'']){{0,3}}\x01", "?", True),
+        (r"\x02\p{Nd}+\x01", "#", False),
     ]
     out = sql_collapsed(e)
     for pattern, to, guard in rules:
-        marked = f"regexp_replace({out}, '([\\p{{L}}\\p{{N}}_]+)', '\x01\\1\x02', 'g')"
+        marked = f"regexp_replace({out}, '([\\p{{L}}\\p{{N}}_]+)', '\x01\x02\\1\x01\x02', 'g')"
         bare = "translate(x, '\x01\x02', '')"
         hit = f"regexp_full_match(x, '{pattern}')" + (f" and {bare} not in ({k})" if guard else "")
         out = f"translate(array_to_string(list_transform(regexp_extract_all({marked}, '(?s){pattern}|.'), lambda x: case when {hit} then '{to}' else x end), ''), '\x01\x02', '')"

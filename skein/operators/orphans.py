@@ -43,12 +43,12 @@ def _dead_asof(refs: DataFrame, lives: DataFrame) -> DataFrame:
     kept = [c for c in refs.columns if c not in ("premise", "at")]
     a = lives.select(F.col("name").alias("key"), F.col("since").cast("timestamp_ntz").alias("t"), F.lit(0).alias("kind"), F.coalesce(F.col("until").cast("timestamp_ntz"), forever).alias("end"), *[F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in kept], F.lit(None).cast(refs.schema["at"].dataType).alias("at"))
     b = refs.select(F.col("premise").alias("key"), F.col("at").cast("timestamp_ntz").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("end"), *kept, "at")
-    both = a.unionByName(b).withColumn("month", F.date_format("t", "yyyy-MM"))
+    both = a.unionByName(b).withColumn("month", F.coalesce(F.date_format("t", "yyyy-MM"), F.lit("")))
     past = Window.partitionBy("key").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
     carry = both.groupBy("key", "month").agg(F.max("end").alias("end")).select("key", "month", F.max("end").over(past).alias("before"))
     here = Window.partitionBy("key", "month").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
     ends = both.join(carry, ["key", "month"]).withColumn("latest", F.greatest(F.max("end").over(here), "before"))
-    return ends.where("kind = 1 and (latest is null or latest <= t)").select(F.col("key").alias("premise"), "at", *kept).select(refs.columns)
+    return ends.where("kind = 1 and (t is null or latest is null or latest <= t)").select(F.col("key").alias("premise"), "at", *kept).select(refs.columns)
 
 
 def orphans(refs: DataFrame, lives: DataFrame, heavy_keys: int = HEAVY_KEYS, broadcast_rows: int = BROADCAST_ROWS, key_rows: int = KEY_ROWS) -> DataFrame:
@@ -56,7 +56,8 @@ def orphans(refs: DataFrame, lives: DataFrame, heavy_keys: int = HEAVY_KEYS, bro
 
     A reference with a null premise is none. With a null time nothing lives, so it is an orphan of month null.
     """
-    refs = refs.where("premise is not null")
+    refs = refs.select("src_table", "row_id", "premise", "at").where("premise is not null")
+    lives = lives.select("name", "since", "until")
     per_key = reference_counts(refs).groupBy("premise").agg(F.sum("n").alias("n"))
     heavy = [r[0] for r in per_key.orderBy(F.desc("n"), "premise").limit(heavy_keys).collect()]  # heavy_keys rows at most
     is_heavy = F.col("premise").isin(heavy)
