@@ -54,7 +54,7 @@ def _patterns() -> dict[str, re.Pattern]:
         "word": re.compile(r"[^\W\d_]+"),
         "scripts": re.compile(SCRIPTS),
         "noscript": re.compile(r"(?is)<noscript>(.*?)</noscript>"),
-        "page": re.compile(r"(?i)<html>.*?<h1>(?P<html>.*?)</h1>.*?</html>|\{\s*\"status\":\s*\d{3},\s*\"error\":\s*\"(?P<json>.*?)\"[^}]*\}|(?m:^(?:error|erreur|fehler)\s*\d{3}\s*:\s*(?P<line>.*)$)|HTTP/\d(?:\.\d)? \d{3}[^\n]*\n(?:[\w-]+:[^\n]*\n)*\n?(?P<http>[^\n]*)"),
+        "page": re.compile(r"(?i)<html>.*?<h1>(?P<html>.*?)</h1>.*?</html>|\{\s*\"status\":\s*\d{3},\s*\"error\":\s*\"(?P<json>.*?)\"[^}]*\}|(?m:(?:^|(?<=\s))(?:error|erreur|fehler)\s*\d{3}\s*:\s*(?P<line>.*)$)|HTTP/\d(?:\.\d)? \d{3}[^\n]*\n(?:[\w-]+:[^\n]*\n)*\n?(?P<http>[^\n]*)"),
     }
 
 
