@@ -38,7 +38,7 @@ ASK_AFTER = ["goes here", "here", "ergänzen", "einfügen", "eintragen", "ausfü
 SCRIPTS = r"(?i)\b(?:javascript|js|scripts?|skripte?n?)\b"
 
 EVIDENCE = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("key", pa.string()), ("sub", pa.string()), ("n", pa.int64()), ("m", pa.int64())])
-LEAST_WORDS, FILLER_SHARE, LEXICON_SHARE, REPEATS, SHORT, SLOT_WORDS, HELD_WORDS, STOCK_SHARE = 4, 0.35, 0.5, 3, 60, 4, 200_000, 0.25
+LEAST_WORDS, FILLER_SHARE, LEXICON_SHARE, LEXICON_LEAST, REPEATS, SHORT, SLOT_WORDS, HELD_WORDS, STOCK_SHARE = 4, 0.35, 0.5, 3, 3, 60, 4, 200_000, 0.25
 
 
 def _patterns() -> dict[str, re.Pattern]:
@@ -172,7 +172,7 @@ def residue(documents: DataFrame) -> DataFrame:
     scripts = scripts.unionByName(sentences.join(told, F.col("n") == F.col("number"), "left_semi").select("doc_id"))
     # m: how often in a row; stock filler is doubled in two documents at least, and in a good part of those that have it
     stock = sentences.groupBy("n").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("m") > 1).alias("doubled")).where(f"doubled > 1 and doubled >= {STOCK_SHARE} * docs").select(F.col("n").alias("number"))
-    lexicon = kind("word").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(f"m >= {LEXICON_SHARE} * n").select(F.col("key").alias("word"))
+    lexicon = kind("word").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where((F.col("m") >= F.greatest(F.lit(LEXICON_LEAST), LEXICON_SHARE * F.col("n"))) | F.col("key").isin(sorted(SEEDS))).select(F.col("key").alias("word"))
     said = kind("filler").select("doc_id", "key", F.explode(F.split("sub", " ")).alias("word"))
     known = said.join(lexicon.withColumn("known", F.lit(1)), "word", "left").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k"))
     filler = known.where(f"k >= {FILLER_SHARE} * n").select("doc_id").unionByName(kind("repeated").select("doc_id")).unionByName(sentences.join(stock, F.col("n") == F.col("number"), "left_semi").select("doc_id"))
