@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Known bridges between fields, their two sides and substrings of declaration names that belong to a side.
@@ -88,5 +88,8 @@ def verdicts(spans: DataFrame, strict: DataFrame, loose: DataFrame) -> DataFrame
 
 def summary(found: DataFrame, clusters: DataFrame, labelled: DataFrame, names: int = 5) -> DataFrame:
     """``bridge, side, cid, label, n_matches, theorems``: matches per cluster, with the first few names."""
-    per = found.join(clusters, "name").groupBy("bridge", "side", "cid").agg(F.count(F.lit(1)).alias("n_matches"), F.slice(F.array_sort(F.collect_list("name")), 1, names).alias("theorems"))
+    placed = found.join(clusters, "name")
+    first = Window.partitionBy("bridge", "side", "cid").orderBy("name")  # only the first few rows of a group reach its task
+    best = placed.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= names).groupBy("bridge", "side", "cid").agg(F.array_sort(F.collect_list("name")).alias("theorems"))
+    per = placed.groupBy("bridge", "side", "cid").agg(F.count(F.lit(1)).alias("n_matches")).join(best, ["bridge", "side", "cid"])
     return per.join(labelled.select("cid", "label"), "cid", "left").select("bridge", "side", "cid", F.coalesce("label", F.col("cid").cast("string")).alias("label"), "n_matches", "theorems")

@@ -118,3 +118,11 @@ def test_component_flags(spark):
     made = graph.component_flags(edges(spark, [("a", "b"), ("b", "d")]), groups, 2)
     assert rows(made, "cid", "name", "in_lcc", "splittable") == [(1, "a", True, True), (1, "b", True, True), (1, "c", False, True), (2, "d", True, False)]
     assert made.where(F.col("cid") == 1).count() == 3
+
+
+def test_written_tables_are_dropped(spark):
+    from skein.sources import shared
+
+    shared.drop_written(spark)
+    assert shared.written(spark.range(3)).count() == 3
+    assert shared.drop_written(spark) == 1 and shared.drop_written(spark) == 0
