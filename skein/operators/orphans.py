@@ -58,18 +58,19 @@ def orphans(refs: DataFrame, lives: DataFrame, heavy_keys: int = HEAVY_KEYS, bro
     """
     refs = refs.select("src_table", "row_id", "premise", "at").where("premise is not null")
     lives = lives.select("name", "since", "until")
-    per_key = reference_counts(refs).groupBy("premise").agg(F.sum("n").alias("n"))
+    found, rest = refs.limit(0), refs
+    many = lives.groupBy("name").count().where(F.col("count") > key_rows).select("name")
+    n_many = many.limit(broadcast_rows + 1).count()
+    if n_many:
+        many = F.broadcast(many) if n_many <= broadcast_rows else many
+        found = _dead_asof(rest.join(many, rest.premise == many.name, "left_semi"), lives.join(many, "name", "left_semi"))
+        rest, lives = rest.join(many, rest.premise == many.name, "left_anti"), lives.join(many, "name", "left_anti")
+    per_key = reference_counts(rest).groupBy("premise").agg(F.sum("n").alias("n"))
     heavy = [r[0] for r in per_key.orderBy(F.desc("n"), "premise").limit(heavy_keys).collect()]  # heavy_keys rows at most
-    is_heavy = F.col("premise").isin(heavy)
-    theirs = lives.where(F.col("name").isin(heavy))
+    is_heavy, theirs = F.col("premise").isin(heavy), lives.where(F.col("name").isin(heavy))
     if theirs.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        found, rest = _dead(refs.where(is_heavy), F.broadcast(theirs)), refs.where(~is_heavy)
-    else:  # too many lifetimes for a broadcast: the running maximum over all
-        found, rest = _dead_asof(refs.where(is_heavy), theirs), refs.where(~is_heavy)
-    light = lives.where(~F.col("name").isin(heavy))
-    many = light.groupBy("name").count().where(F.col("count") > key_rows).select("name")
-    if many.limit(1).count():
-        found = found.unionByName(_dead_asof(rest.join(many, rest.premise == many.name, "left_semi"), light.join(many, "name", "left_semi")))
-        rest, light = rest.join(many, rest.premise == many.name, "left_anti"), light.join(many, "name", "left_anti")
-    found = found.unionByName(_dead(rest, light))
+        found = found.unionByName(_dead(rest.where(is_heavy), F.broadcast(theirs)))
+    else:  # too many lifetimes for a broadcast: the running maximum for these keys too
+        found = found.unionByName(_dead_asof(rest.where(is_heavy), theirs))
+    found = found.unionByName(_dead(rest.where(~is_heavy), lives.where(~F.col("name").isin(heavy))))
     return found.select("src_table", F.date_format("at", "yyyy-MM").alias("month_key"), "row_id", "premise").distinct()
