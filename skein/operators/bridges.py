@@ -104,6 +104,6 @@ def elbow(swept: DataFrame) -> DataFrame:
     return d.agg(F.coalesce(chosen, F.lit(0).cast("long")).alias("theta"))
 
 
-def filtered(candidates: DataFrame, theta: DataFrame) -> DataFrame:
-    """Candidates with a cross premise of in-degree <= theta (a one-row frame)."""
-    return candidates.join(F.broadcast(theta), F.col("min_cross_indegree") <= F.col("theta")).drop("theta")
+def filtered(candidates: DataFrame, theta: int) -> DataFrame:
+    """Candidates with a cross premise of in-degree <= theta."""
+    return candidates.where(F.col("min_cross_indegree") <= theta)

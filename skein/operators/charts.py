@@ -21,8 +21,10 @@ def edge_widths(edges: DataFrame, labelled: DataFrame) -> DataFrame:
     """Edges between labelled clusters with ``width``, the weight scaled to 0.3 .. 2.8."""
     known = labelled.select("cid")
     e = edges.join(known.withColumnRenamed("cid", "cid_a"), "cid_a", "left_semi").join(known.withColumnRenamed("cid", "cid_b"), "cid_b", "left_semi")
-    ends = e.agg(F.min("weight").alias("lo"), F.max("weight").alias("hi"))
-    return e.join(F.broadcast(ends)).select("cid_a", "cid_b", "weight", (0.3 + 2.5 * (F.col("weight") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-12)).alias("width"))  # one row
+    lo, hi = e.agg(F.min("weight"), F.max("weight")).first()
+    if lo is None:
+        return e.select("cid_a", "cid_b", "weight", F.lit(None).cast("double").alias("width"))
+    return e.select("cid_a", "cid_b", "weight", (0.3 + 2.5 * (F.col("weight") - lo) / (hi - lo + 1e-12)).alias("width"))
 
 
 def cluster_nodes(labelled: DataFrame, shown_from: int = 300) -> DataFrame:

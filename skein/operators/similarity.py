@@ -52,13 +52,14 @@ def edit_bridges(c: DataFrame, labelled: DataFrame, top_k: int | None = 200) ->
 
     At most ``CLUSTERS * PER_CLUSTER`` proofs, so the pairs of clusters are an inequality join of bounded sides.
     """
+    usual = baseline(c).first()[0]  # null without proofs: then nothing is closer
     pairs = c.alias("x").join(c.alias("y"), F.col("x.cluster_rank") < F.col("y.cluster_rank"))
     d = pairs.select(
         F.col("x.cid").alias("cluster_a"), F.col("y.cid").alias("cluster_b"), F.col("x.name").alias("theorem_a"), F.col("y.name").alias("theorem_b"), F.col("x.rn").alias("ra"), F.col("y.rn").alias("rb"),
         F.col("x.items").alias("seq_a"), F.col("y.items").alias("seq_b"), distance(F.col("x.code"), F.col("y.code"), F.col("x.len"), F.col("y.len")).alias("norm_edit_dist"),
     ).where("norm_edit_dist < 1.0")
     w = Window.partitionBy("cluster_a", "cluster_b").orderBy("norm_edit_dist", "ra", "rb")
-    best = d.withColumn("_r", F.row_number().over(w)).where("_r = 1").join(F.broadcast(baseline(c))).where("norm_edit_dist < baseline")  # one row
+    best = d.withColumn("_r", F.row_number().over(w)).where("_r = 1").withColumn("baseline", F.lit(usual).cast("double")).where("norm_edit_dist < baseline")
     names = labelled.select("cid", "label")
     best = best.join(names.select(F.col("cid").alias("cluster_a"), F.col("label").alias("la")), "cluster_a", "left").join(names.select(F.col("cid").alias("cluster_b"), F.col("label").alias("lb")), "cluster_b", "left")
     made = best.select("cluster_a", "cluster_b", F.coalesce("la", F.col("cluster_a").cast("string")).alias("label_a"), F.coalesce("lb", F.col("cluster_b").cast("string")).alias("label_b"), "theorem_a", "theorem_b", "norm_edit_dist", (F.col("baseline") - F.col("norm_edit_dist")).alias("surprise"), "seq_a", "seq_b")

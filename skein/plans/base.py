@@ -12,10 +12,12 @@ from ..operators import graph, labels
 from ..sources.tables import first_delivery, table
 
 
-def steps(spark: SparkSession, d: str) -> DataFrame:
-    """``name, step_no, step_id, file_path, tactic, premises``: one row per step that belongs to a name."""
+def steps(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    """``name, step_no, step_id`` and the ``fields`` among ``file_path, tactic, premises`` (all by default): one row per step
+    that belongs to a name. Only the fields asked for are read and shuffled."""
     raw = table(spark, d, "tactic_steps")
-    kept = first_delivery(raw, "step_id", {"name": clean_name("full_name"), "step_no": F.coalesce("step_no", F.lit(-1)), "file_path": F.coalesce("file_path", F.lit("")), "tactic": F.coalesce("tactic", F.lit("")), "premises": clean_names("premises")})
+    known = {"file_path": F.coalesce("file_path", F.lit("")), "tactic": F.coalesce("tactic", F.lit("")), "premises": clean_names("premises")}
+    kept = first_delivery(raw, "step_id", {"name": clean_name("full_name"), "step_no": F.coalesce("step_no", F.lit(-1)), **{f: known[f] for f in fields or known}})
     return kept.where("name is not null")
 
 
@@ -81,7 +83,7 @@ def event_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 def streams(spark: SparkSession, d: str) -> DataFrame:
     """``cid, n_steps, items``: the token stream of each clustered proof."""
-    p = abstract_proofs(steps(spark, d)).join(clusters(spark, d), "name")
+    p = abstract_proofs(steps(spark, d, "tactic")).join(clusters(spark, d), "name")
     return p.select("cid", F.size("items").alias("n_steps"), token_stream("items").alias("items"))
 
 

@@ -49,8 +49,8 @@ def _codes(get: Get) -> DataFrame:
     return similarity.coded(similarity.top_proofs(p, similarity.top_clusters(p)))
 
 
-def _theta(get: Get) -> DataFrame:
-    return bridges.elbow(get("indegree_sweep"))
+def _theta(get: Get) -> int:
+    return bridges.elbow(get("indegree_sweep")).first()[0]
 
 
 def _verdicts(get: Get) -> DataFrame:

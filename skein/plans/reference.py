@@ -42,34 +42,34 @@ def corpus_last_wins(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def first_value_per_key(spark, d):
-    return base.first_paths(base.steps(spark, d))
+    return base.first_paths(base.steps(spark, d, "file_path"))
 
 
 @query
 def proof_sequences(spark, d):
-    return base.proofs(base.steps(spark, d)).select("name", F.size("tactics").cast("long").alias("n_tactics"), F.array_join("tactics", "\n").alias("tactics"))
+    return base.proofs(base.steps(spark, d, "tactic")).select("name", F.size("tactics").cast("long").alias("n_tactics"), F.array_join("tactics", "\n").alias("tactics"))
 
 
 @query
 def graph_nodes(spark, d):
-    return base.nodes(spark, d, base.steps(spark, d))
+    return base.nodes(spark, d, base.steps(spark, d, "file_path", "premises"))
 
 
 @query
 def graph_edges(spark, d):
-    return base.edges(base.steps(spark, d))
+    return base.edges(base.steps(spark, d, "premises"))
 
 
 @query
 def graph_size(spark, d):
-    s = base.steps(spark, d)
-    n = base.nodes(spark, d, s).agg(F.count(F.lit(1)).alias("n_nodes"))
-    return n.join(F.broadcast(base.edges(s).agg(F.count(F.lit(1)).alias("n_edges"))))  # one row each
+    s = base.steps(spark, d, "file_path", "premises")
+    both = base.nodes(spark, d, s).select(F.lit(1).alias("node")).unionByName(base.edges(s).select(F.lit(0).alias("node")))
+    return both.agg(F.count_if(F.col("node") == 1).alias("n_nodes"), F.count_if(F.col("node") == 0).alias("n_edges"))
 
 
 @query
 def in_degree(spark, d):
-    s = base.steps(spark, d)
+    s = base.steps(spark, d, "file_path", "premises")
     return graph.in_degrees(base.nodes(spark, d, s), base.edges(s))
 
 
@@ -85,12 +85,12 @@ def indegree_histogram(spark, d):
 
 @query
 def undirected_edges(spark, d):
-    return graph.undirected_edges(base.edges(base.steps(spark, d)))
+    return graph.undirected_edges(base.edges(base.steps(spark, d, "premises")))
 
 
 @query
 def induced_subgraph(spark, d):
-    return graph.induced(base.edges(base.steps(spark, d)), base.clusters(spark, d))
+    return graph.induced(base.edges(base.steps(spark, d, "premises")), base.clusters(spark, d))
 
 
 @query
@@ -103,16 +103,11 @@ def node_index(spark, d):
 # graph algorithms
 
 
-def trade_edges(spark, d):
-    """Customers and suppliers linked by a large order."""
-    o = table(spark, d, "orders").where("o_totalprice > 440000").select("o_orderkey", "o_custkey")
-    li = table(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_suppkey")
-    return o.join(li, o.o_orderkey == li.l_orderkey).select(F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst")).distinct()
-
-
 @query
 def connected_components(spark, d):
-    return graph.connected_components(trade_edges(spark, d))
+    """Components of the whole dependency graph, single declarations included."""
+    s = base.steps(spark, d, "file_path", "premises")
+    return graph.connected_components(base.edges(s), base.nodes(spark, d, s).select("name"))
 
 
 @query
@@ -121,38 +116,35 @@ def largest_component(spark, d):
 
 
 @query
-def proof_components(spark, d):
-    """Sizes of the components of the whole dependency graph."""
-    s = base.steps(spark, d)
-    found = graph.connected_components(base.edges(s), base.nodes(spark, d, s).select("name"))
-    return found.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
+def component_sizes(spark, d):
+    return connected_components(spark, d).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
 @query
 def communities(spark, d):
-    return community.communities(base.edges(base.steps(spark, d)))
+    return community.communities(base.edges(base.steps(spark, d, "premises")))
 
 
 @query
 def modularity(spark, d):
-    made = community.modularity(graph.undirected_edges(base.edges(base.steps(spark, d))), base.clusters(spark, d))
+    made = community.modularity(graph.undirected_edges(base.edges(base.steps(spark, d, "premises"))), base.clusters(spark, d))
     return made.select(r6("modularity").alias("modularity"))
 
 
 @query
 def sub_lcc_status(spark, d):
-    return graph.component_flags(base.edges(base.steps(spark, d)), base.clusters(spark, d))
+    return graph.component_flags(base.edges(base.steps(spark, d, "premises")), base.clusters(spark, d))
 
 
 @query
 def sub_communities(spark, d):
-    s = base.steps(spark, d)
+    s = base.steps(spark, d, "premises")
     return community.sub_communities(base.edges(s), base.clusters(spark, d))
 
 
 @query
 def sub_cluster_labels(spark, d):
-    s = base.steps(spark, d)
+    s = base.steps(spark, d, "file_path", "premises")
     subs = community.sub_communities(base.edges(s), base.clusters(spark, d))
     placed = subs.join(base.nodes(spark, d, s).select("name", "file_path"), "name", "left").select("top", "sub", top_module("file_path", []).alias("module"))
     return shown(labels.labels(labels.distribution(placed, ["top", "sub"]), ["top", "sub"], top=3), "top", "sub")
@@ -181,7 +173,7 @@ def module_parts(spark, d):
 
 @query
 def cluster_summary(spark, d):
-    s = base.steps(spark, d)
+    s = base.steps(spark, d, "file_path", "premises")
     named = base.clusters(spark, d).join(base.nodes(spark, d, s), "name", "left").select("cid", second_part(F.coalesce("module", F.lit(""))).alias("module"))
     top = labels.top_modules(labels.distribution(named.where("module is not null"), ["cid"]), ["cid"])
     mods = F.array_join(F.transform("top_modules", lambda m: F.concat(m["module"], F.lit(":"), m["cnt"].cast("string"))), ",")
@@ -190,22 +182,22 @@ def cluster_summary(spark, d):
 
 @query
 def module_distribution(spark, d):
-    return labels.distribution(base.members(spark, d, base.steps(spark, d)), ["cid"])
+    return labels.distribution(base.members(spark, d, base.steps(spark, d, "file_path", "premises")), ["cid"])
 
 
 @query
 def cluster_labels(spark, d):
-    return shown(base.labelled(spark, d, base.steps(spark, d)), "cid")
+    return shown(base.labelled(spark, d, base.steps(spark, d, "file_path", "premises")), "cid")
 
 
 @query
 def mixed_pure_counts(spark, d):
-    return labels.mixed_pure_counts(base.labelled(spark, d, base.steps(spark, d)))
+    return labels.mixed_pure_counts(base.labelled(spark, d, base.steps(spark, d, "file_path", "premises")))
 
 
 @query
 def pure_clusters(spark, d):
-    return labels.pure(base.labelled(spark, d, base.steps(spark, d))).select("cid")
+    return labels.pure(base.labelled(spark, d, base.steps(spark, d, "file_path", "premises"))).select("cid")
 
 
 @query
@@ -247,7 +239,7 @@ def tokenise(spark, d):
 
 @query
 def token_stream(spark, d):
-    p = base.proofs(base.steps(spark, d))
+    p = base.proofs(base.steps(spark, d, "tactic"))
     return p.select("name", F.array_join(text.token_stream("tactics"), " ").alias("tokens"))
 
 
@@ -260,13 +252,13 @@ def gram_text(c: str = "gram") -> Column:
 
 @query
 def ngrams_of_words(spark, d):
-    s = base.steps(spark, d).withColumn("tactic", F.coalesce(leading_word("tactic"), F.lit("")))
+    s = base.steps(spark, d, "tactic").withColumn("tactic", F.coalesce(leading_word("tactic"), F.lit("")))
     g = base.proofs(s).select(F.explode(ngrams.windows("tactics", 3)).alias("gram"))
     return g.groupBy(gram_text().alias("gram")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _profiles(spark, d, lengths):
-    return ngrams.profiles(base.abstract_proofs(base.steps(spark, d)).join(base.clusters(spark, d), "name").select("cid", "items"), lengths)
+    return ngrams.profiles(base.abstract_proofs(base.steps(spark, d, "tactic")).join(base.clusters(spark, d), "name").select("cid", "items"), lengths)
 
 
 @query
@@ -323,7 +315,7 @@ def event_sweep(spark, d):
 
 def _graph(spark, d):
     """Steps and edges, each computed once, clusters, recorded labels and pure clusters."""
-    s = written(base.steps(spark, d))
+    s = written(base.steps(spark, d, "file_path", "premises"))
     labelled = base.recorded_labels(spark, d)
     return s, written(base.edges(s)), base.clusters(spark, d), labelled, labels.pure(labelled).select("cid")
 
@@ -368,7 +360,7 @@ def elbow_theta(spark, d):
 @query
 def filtered_bridges(spark, d):
     c, degrees, *_ = _candidates(spark, d)
-    theta = bridges.elbow(bridges.indegree_sweep(c, degrees))
+    theta = bridges.elbow(bridges.indegree_sweep(c, degrees)).first()[0]
     return bridges.filtered(c, theta).select("theorem", "n_clusters", "min_cross_indegree")
 
 
@@ -382,21 +374,21 @@ def _event_codes(spark, d):
 
 @query
 def top_clusters(spark, d):
-    return similarity.top_clusters(base.abstract_proofs(base.steps(spark, d)).where(F.size("items") >= similarity.LEAST_STEPS).join(base.clusters(spark, d), "name")).select("cid", "n_proofs")
+    return similarity.top_clusters(base.abstract_proofs(base.steps(spark, d, "tactic")).where(F.size("items") >= similarity.LEAST_STEPS).join(base.clusters(spark, d), "name")).select("cid", "n_proofs")
 
 
 @query
 def top_proofs_per_cluster(spark, d):
-    p = written(base.abstract_proofs(base.steps(spark, d)).where(F.size("items") >= similarity.LEAST_STEPS).join(base.clusters(spark, d), "name"))
+    p = written(base.abstract_proofs(base.steps(spark, d, "tactic")).where(F.size("items") >= similarity.LEAST_STEPS).join(base.clusters(spark, d), "name"))
     return similarity.top_proofs(p, similarity.top_clusters(p)).select("cid", "name", F.col("len").cast("long").alias("len"), F.col("rn").cast("long").alias("rn"))
 
 
 @query
 def token_edit_distance(spark, d):
-    """Distances between the ten longest sequences of users 0 modulo 10."""
-    c = _event_codes(spark, d).where("cid = 0")
-    p = c.alias("x").join(c.alias("y"), F.col("x.rn") < F.col("y.rn"))
-    return p.select(F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b"), F.levenshtein("x.code", "y.code").cast("long").alias("edits"), r6(similarity.distance(F.col("x.code"), F.col("y.code"), F.col("x.len"), F.col("y.len"))).alias("norm_edit_dist"))
+    """Distances between the ten longest sequences of each cluster of users."""
+    c = _event_codes(spark, d)
+    p = c.alias("x").join(c.alias("y"), (F.col("x.cid") == F.col("y.cid")) & (F.col("x.rn") < F.col("y.rn")))
+    return p.select(F.col("x.cid").alias("cid"), F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b"), F.levenshtein("x.code", "y.code").cast("long").alias("edits"), r6(similarity.distance(F.col("x.code"), F.col("y.code"), F.col("x.len"), F.col("y.len"))).alias("norm_edit_dist"))
 
 
 @query
@@ -413,7 +405,7 @@ def event_edit_bridges(spark, d):
 
 @query
 def edit_bridges(spark, d):
-    s = written(base.steps(spark, d))
+    s = written(base.steps(spark, d, "tactic"))
     p = written(base.abstract_proofs(s).where(F.size("items") >= similarity.LEAST_STEPS).join(base.clusters(spark, d), "name"))
     c = written(similarity.coded(similarity.top_proofs(p, similarity.top_clusters(p))))
     return similarity.edit_bridges(c, base.recorded_labels(spark, d)).drop("seq_a", "seq_b")
@@ -451,7 +443,7 @@ def detected_matches(spark, d):
 
 def _verdicts(spark, d, known):
     cand, degrees, c, lab, (e, pure) = _candidates(spark, d)
-    theta = bridges.elbow(bridges.indegree_sweep(cand, degrees))
+    theta = bridges.elbow(bridges.indegree_sweep(cand, degrees)).first()[0]
     pats = validation.patterns(spark, known)
     found = written(validation.matches(c.select("name"), pats))
     strict = validation.detected(found, bridges.filtered(cand, theta))
@@ -519,25 +511,25 @@ def cluster_graph_edges(spark, d):
 @query
 def plot_cluster_edges(spark, d):
     e = written(charts.cluster_edges(_recorded_bridges(spark, d)))
-    return charts.edge_widths(e, base.labelled(spark, d, base.steps(spark, d))).select("cid_a", "cid_b", r6("width").alias("width"))
+    return charts.edge_widths(e, base.labelled(spark, d, base.steps(spark, d, "file_path", "premises"))).select("cid_a", "cid_b", r6("width").alias("width"))
 
 
 @query
 def plot_cluster_nodes(spark, d):
-    n = charts.cluster_nodes(base.labelled(spark, d, base.steps(spark, d)))
+    n = charts.cluster_nodes(base.labelled(spark, d, base.steps(spark, d, "file_path", "premises")))
     return n.select("cid", r6("node_size").alias("node_size"), "colour", "shown_label")
 
 
 @query
 def plot_purity(spark, d):
-    p = charts.purity(base.labelled(spark, d, base.steps(spark, d)))
+    p = charts.purity(base.labelled(spark, d, base.steps(spark, d, "file_path", "premises")))
     return p.select("cid", *[r6(c).alias(c) for c in ("dominant_fraction", "norm_entropy", "marker_size")], "colour", "shown_label", "left_of_line")
 
 
 @query
 def plot_hierarchy(spark, d):
     """Stacked bars of the modules inside each cluster."""
-    r = labels.ranked(labels.distribution(base.members(spark, d, base.steps(spark, d)), ["cid"]), ["cid"])
+    r = labels.ranked(labels.distribution(base.members(spark, d, base.steps(spark, d, "file_path", "premises")), ["cid"]), ["cid"])
     subs = r.select(F.col("cid").alias("top"), (F.col("rank") - 1).alias("sub"), F.col("module").alias("label"), F.col("cnt").alias("size"))
     return charts.hierarchy(written(subs)).select("top", "sub", F.col("bar").cast("long").alias("bar"), "total", r6("fraction").alias("fraction"), r6("left").alias("left"), "shown_label")
 
@@ -550,7 +542,7 @@ def plot_complexity(spark, d):
 
 @query
 def label_report(spark, d):
-    lab = base.labelled(spark, d, base.steps(spark, d))
+    lab = base.labelled(spark, d, base.steps(spark, d, "file_path", "premises"))
     return reports.lines(lab, [F.desc("size"), F.col("cid")], "%3d  C%-4d %6d  %s", F.col("cid"), F.col("size"), reports.shortened("label"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.names import WHITE, quoted, sql_tokens
 from ..functions.paths import sql_module_of, sql_top_module
 from ..functions.text import GENERIC, sql_collapsed, sql_normalised
+from ..operators.validation import KNOWN_BRIDGES
 from .base import ABSTRACT, ALL, CLUSTERS, CORPUS, EDGES, EVENTS, GRAPH, LABELS, NODES, PROOFS, RECORDED, ST
 
 _GENERIC = ", ".join(f"'{g}'" for g in GENERIC)
@@ -13,7 +14,10 @@ _UND = "ud as (select distinct least(src, dst) src, greatest(src, dst) dst from
 _SHOWN = "label, dominant_module, round(dominant_fraction, 6) dominant_fraction, round(entropy, 6) entropy, round(norm_entropy, 6) norm_entropy, is_mixed, size, top_modules"
 _COMPONENTS = """ends as (select src a, dst b from links union select dst, src from links),
 reach as (select a node, a root from ends union select e.b, r.root from reach r join ends e on e.a = r.node)"""
-_TRADE = "links as (select distinct 'C' || o_custkey src, 'S' || l_suppkey dst from orders join lineitem on o_orderkey = l_orderkey where o_totalprice > 440000 and l_quantity > 45)"
+# least reachable name by rounds in which only changed nodes tell their neighbours
+_LEAST = f"""with recursive {GRAPH}, ends as (select src a, dst b from ed union select dst, src from ed),
+cc(node, component) using key (node) as (select name, name from nd union
+  select e.b, min(cc.component) from cc join ends e on e.a = cc.node join recurring.cc old on old.node = e.b where encode(cc.component) < encode(old.component) group by e.b)"""
 
 
 def _labels_of(source: str) -> str:
@@ -62,7 +66,14 @@ ds as (select theta, n, round(abs((x2 - x1) * (y1 - y) - (y2 - y1) * (x1 - x)) /
 el as (select coalesce(case when max(n) >= 3 then arg_max(theta, {{'d': d, 't': -theta}}) else max(theta) end, 0) theta from ds)"""
 
 _SIDES = [("mesh / fold", 0, "mesh."), ("mesh / fold", 1, "fold."), ("norm / trace", 0, "norm_"), ("norm / trace", 0, ".norm"), ("norm / trace", 1, "trace"), ("left / missing", 0, "_left"), ("left / missing", 1, "Brouwer")]
-_PATS = "pats(bridge, side, pattern) as (values " + ", ".join(f"('{b}', {s}, '{p}')" for b, s, p in _SIDES) + ")"
+
+
+def _pats(rows: list[tuple[str, int, str]]) -> str:
+    return "pats(bridge, side, pattern) as (values " + ", ".join(f"('{b}', {s}, '{p}')" for b, s, p in rows) + ")"
+
+
+_PATS = _pats(_SIDES)
+_KNOWN = _pats([(b, i, p) for b, sides in KNOWN_BRIDGES.items() for i, ps in enumerate(sides.values()) for p in ps.split()])
 _MT = f"{_PATS},\nmt as (select distinct bridge, side, name from cm, pats where contains(name, pattern))"
 _SPAN = """sd as (select bridge, count(*) filter (side = 0) n_a, count(*) filter (side = 1) n_b, coalesce(list(distinct cid) filter (side = 0), []) a, coalesce(list(distinct cid) filter (side = 1), []) b from (select distinct bridge from pats) left join (mt join cm using (name)) using (bridge) group by 1),
 sp as (select bridge, n_a, n_b, len(list_intersect(a, b)) clusters_overlap, len(list_distinct(a || b)) - len(list_intersect(a, b)) clusters_separated,
@@ -106,8 +117,9 @@ SQL = {
     "undirected_edges": f"with {ST}, {EDGES}, {_UND} select * from ud",
     "induced_subgraph": f"with {ST}, {EDGES}, {CLUSTERS} select a.cid, src, dst from ed join cm a on a.name = src join cm b on b.name = dst where a.cid = b.cid",
     "node_index": f"with {CLUSTERS} select cid, row_number() over (order by cid) - 1 idx from (select distinct cid from cm)",
-    "connected_components": f"with recursive {_TRADE}, {_COMPONENTS} select node, min(root) component from reach group by 1",
-    "largest_component": f"with recursive {_TRADE}, {_COMPONENTS}, cc as (select node, min(root) component from reach group by 1), best as (select component from cc group by 1 order by count(*) desc, component limit 1) select node from cc join best using (component)",
+    "connected_components": f"{_LEAST} select node, component from cc",
+    "largest_component": f"{_LEAST} select node from cc where component = (select component from cc group by 1 order by count(*) desc, encode(component) limit 1)",
+    "component_sizes": f"{_LEAST} select component, count(*) n_nodes from cc group by 1",
     "modularity": f"""with {ST}, {EDGES}, {_UND}, {CLUSTERS}, e as (select a.cid ca, b.cid cb from ud join cm a on a.name = src join cm b on b.name = dst),
 dg as (select cid, count(*) d from (select ca cid from e union all select cb from e) group by 1)
 select round((select count(*) from e where ca = cb) / (sum(d) / 2) - sum(d::double * d) / (sum(d)::double * sum(d)), 6) modularity from dg""",
@@ -155,7 +167,7 @@ from bt join lab l on l.cid = cid_s join (select src, count(*) n from ed group b
     "filtered_bridges": f"with {RECORDED}, {_EL} select theorem, n_clusters, min_cross_indegree from dc, el where min_cross_indegree <= theta",
     "top_clusters": f"with {_QP} select cid, count(*) n_proofs from q group by 1 order by 2 desc, 1 limit 30",
     "top_proofs_per_cluster": f"with {_QP}, tc as (select cid from q group by 1 order by count(*) desc, 1 limit 30) select cid, name, len, row_number() over (partition by cid order by len desc, encode(name)) rn from q join tc using (cid) qualify rn <= 30",
-    "token_edit_distance": f"with {_CODES} select x.name name_a, y.name name_b, levenshtein(x.code, y.code) edits, round(levenshtein(x.code, y.code) / greatest(x.len, y.len, 1)::double, 6) norm_edit_dist from tp x join tp y on x.cid = 0 and y.cid = 0 and x.rn < y.rn",
+    "token_edit_distance": f"with {_CODES} select x.cid, x.name name_a, y.name name_b, levenshtein(x.code, y.code) edits, round(levenshtein(x.code, y.code) / greatest(x.len, y.len, 1)::double, 6) norm_edit_dist from tp x join tp y on x.cid = y.cid and x.rn < y.rn",
     "edit_baseline": f"with {_CODES} select round(baseline, 6) baseline from bl",
     "event_edit_bridges": f"""with {_CODES}, al as (select x.cid cluster_a, y.cid cluster_b, x.name theorem_a, y.name theorem_b, levenshtein(x.code, y.code) / greatest(x.len, y.len, 1)::double e, x.rn ra, y.rn rb from tp x join tp y on x.cluster_rank < y.cluster_rank),
 best as (select * from al where e < 1.0 qualify row_number() over (partition by cluster_a, cluster_b order by e, ra, rb) = 1)
@@ -165,6 +177,10 @@ select cluster_a, cluster_b, theorem_a, theorem_b, round(e, 6) norm_edit_dist, r
     "validation_summary": f"""with {RECORDED}, {_MT} select bridge, side, cid, any_value(l.label) as label, count(*) n_matches, array_to_string(list(name order by encode(name))[1:5], ',') theorems from mt join cm using (name) join lab l using (cid) group by 1, 2, 3""",
     "detected_matches": f"with {RECORDED}, {_DC}, {_MT} select bridge, side, name from mt where name in (select theorem from dc)",
     "validation_verdicts": f"""with {RECORDED}, {_EL}, {_BT.replace(_LINKS + ',', '')}, {_MT}, {_SPAN}
+select bridge, case when n_a > 0 and n_b > 0 then 'yes' when n_a + n_b > 0 then 'partial' else 'no' end found, case when bridge_spans_clusters then 'YES' else 'no' end spans,
+  case when exists (select 1 from mt, dc, el where mt.bridge = sp.bridge and mt.name = dc.theorem and min_cross_indegree <= el.theta) then 'YES (strict)'
+    when exists (select 1 from mt, bt where mt.bridge = sp.bridge and mt.name = bt.theorem) then 'YES (loose)' else 'no' end detected from sp""",
+    "known_bridge_verdicts": f"""with {RECORDED}, {_EL}, {_BT.replace(_LINKS + ',', '')}, {_MT.replace(_PATS, _KNOWN)}, {_SPAN}
 select bridge, case when n_a > 0 and n_b > 0 then 'yes' when n_a + n_b > 0 then 'partial' else 'no' end found, case when bridge_spans_clusters then 'YES' else 'no' end spans,
   case when exists (select 1 from mt, dc, el where mt.bridge = sp.bridge and mt.name = dc.theorem and min_cross_indegree <= el.theta) then 'YES (strict)'
     when exists (select 1 from mt, bt where mt.bridge = sp.bridge and mt.name = bt.theorem) then 'YES (loose)' else 'no' end detected from sp""",
