@@ -18,6 +18,21 @@ def interaction(candidates: DataFrame, clusters: DataFrame, labelled: DataFrame)
     return once.unionByName(once.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("weight"))
 
 
+def by_label(recorded: DataFrame, labelled: DataFrame, theta: int | None = None, kept: int = 5) -> DataFrame:
+    """Recorded bridges, whose premises name a label, in the shape of candidates: the first cluster with that label stands
+    for it, -1 for an unknown one. ``theta`` leaves premises of at most that in-degree, of which ``kept`` are taken.
+
+    A label of several clusters is lossy, which is why the analysis itself uses ids.
+    """
+    first = labelled.groupBy("label").agg(F.min("cid").alias("cid"))
+    p = F.col("cross_cluster_premises")
+    if theta is not None:
+        p = F.slice(F.filter(p, lambda x: x["in_degree"] <= theta), 1, kept)
+    each = recorded.select("theorem", F.explode(p).alias("p")).select("theorem", "p.premise", F.col("p.cluster_label").alias("label"), "p.in_degree")
+    found = each.join(first, "label", "left").select("theorem", F.struct("premise", F.coalesce("cid", F.lit(-1)).alias("cid"), "in_degree").alias("p"))
+    return found.groupBy("theorem").agg(F.array_sort(F.collect_list("p")).alias("cross_premises"))
+
+
 def integration(w: DataFrame, labelled: DataFrame) -> DataFrame:
     """``cid, integration, total_bridge_connections``: entropy of each cluster's links; zero for a cluster without any."""
     total = Window.partitionBy("i")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import top_module
 from ..functions.text import token_stream
 from ..operators import bridges, charts, community, complexity, graph, labels, ngrams, reports, similarity, validation
-from ..sources.formats import exists, read_first, write_json, write_report, write_table
+from ..sources.formats import exists, read_first, write_json, write_map, write_report, write_table
 from ..schemas import CANDIDATES
 from . import base
 
@@ -123,5 +123,11 @@ def export(spark: SparkSession, out: str, to: str) -> None:
     write_json(at("edit_bridges").drop("seq_a", "seq_b"), f"{to}/edit_bridges", [F.col("norm_edit_dist"), F.col("cluster_a"), F.col("cluster_b")], 200)
     write_json(at("sweep"), f"{to}/ngram_sweep", [F.col("n")], 8)
     write_json(at("complexity"), f"{to}/complexity", [F.col("cid")], 100_000)
-    write_report(reports.lines(at("bridge_theorems"), [F.desc("n_premise_clusters"), F.col("theorem")], "%3d  %-57s  %2d  %s", reports.shortened("theorem"), F.col("n_premise_clusters"), F.array_join("premise_cluster_labels", " · "), top=200), f"{to}/bridge_theorem_report")
-    write_report(reports.lines(at("edit_bridges"), [F.col("norm_edit_dist"), F.col("cluster_a"), F.col("cluster_b")], "%3d  %.3f  %s ↔ %s  %s", F.col("norm_edit_dist"), F.col("label_a"), F.col("label_b"), F.concat_ws(" → ", F.slice("seq_a", 1, 10)), top=100), f"{to}/edit_bridge_report")
+    made = {
+        "label_report": reports.of_labels(at("labels")), "bridge_report": reports.of_bridges(at("bridges")), "bridge_theorem_report": reports.of_theorems(at("bridge_theorems")),
+        "edit_bridge_report": reports.of_edit_bridges(at("edit_bridges")), "filtered_report": reports.of_candidates(filtered, at("labels")),
+        "complexity_report": reports.of_complexity(at("complexity")), "validation_report": reports.of_verdicts(at("verdicts")),
+    }
+    for name, lines in made.items():
+        write_report(lines, f"{to}/{name}")
+    write_map(at("labels"), "cid", f"{to}/cluster_labels")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.names import leading_word, tokens
+from ..functions.names import clean_name, leading_word, tokens
 from ..functions.paths import module_of, second_part, top_module
 from ..operators import bridges, charts, community, complexity, graph, labels, ngrams, reports, similarity, validation
 from ..sources.shared import written
@@ -496,6 +496,24 @@ def global_cn(spark, d):
     return complexity.global_complexity(*_interaction(spark, d)).select(r6("global_cn").alias("global_cn"))
 
 
+def _recorded_interaction(spark, d):
+    """Interaction by the recorded bridges and labels: labels stand for their first cluster."""
+    b = table(spark, d, "bridge_theorems_filtered").groupBy("bridge_id").agg(F.min(F.struct(clean_name("theorem").alias("theorem"), "cross_cluster_premises")).alias("b")).select("b.*")
+    lab = base.recorded_labels(spark, d)
+    return written(complexity.interaction(complexity.by_label(b.where("theorem is not null"), lab), base.clusters(spark, d), lab)), lab
+
+
+@query
+def recorded_interaction_matrix(spark, d):
+    return _recorded_interaction(spark, d)[0]
+
+
+@query
+def recorded_complexity(spark, d):
+    made = complexity.complexity(*_recorded_interaction(spark, d))
+    return made.select("cid", *[r6(c).alias(c) for c in ("integration", "neural_complexity")], "total_bridge_connections")
+
+
 # charts and reports
 
 
@@ -546,6 +564,19 @@ def label_report(spark, d):
     return reports.lines(lab, [F.desc("size"), F.col("cid")], "%3d  C%-4d %6d  %s", F.col("cid"), F.col("size"), reports.shortened("label"))
 
 
+@query
+def bridge_theorem_report(spark, d):
+    _, e, c, lab, pure = _graph(spark, d)
+    return reports.of_theorems(bridges.bridge_theorems(e, c, lab, pure))
+
+
+@query
+def filtered_report(spark, d):
+    c, degrees, _, lab, _ = _candidates(spark, d)
+    theta = bridges.elbow(bridges.indegree_sweep(c, degrees)).first()[0]
+    return reports.of_candidates(bridges.filtered(c, theta), lab)
+
+
 @query
 def event_windows(spark, d):
     """Events per hour and type, the batch form of the stream."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.names import WHITE, quoted, sql_tokens
+from ..functions.names import WHITE, quoted, sql_name, sql_tokens
 from ..functions.paths import sql_module_of, sql_top_module
 from ..functions.text import GENERIC, sql_collapsed, sql_normalised
 from ..operators.validation import KNOWN_BRIDGES
@@ -87,6 +87,14 @@ ig as (select lab.cid, coalesce(-sum(p * log2(p + 1e-12)), 0) integration, coale
 _DF = """tm as (select cid, cnt / (sum(cnt) over (partition by cid))::double p from tmod),
 df as (select cid, 1 + sum(p * log2(p + 1e-12)) / log2(count(*) + 1) differentiation from tm group by 1)"""
 _NC = f"{_W},\n{_DF},\nnc as (select lab.*, integration, differentiation, integration * differentiation neural_complexity, total_bridge_connections from lab join ig using (cid) join df using (cid))"
+_RW = f"""{RECORDED},
+bt0 as (select bridge_id, {sql_name('any_value(theorem)')} theorem, any_value(cross_cluster_premises) ps from bridge_theorems_filtered group by 1),
+fl as (select label, min(cid) cid from lab group by 1),
+pl as (select distinct theorem, coalesce(fl.cid, -1) j from (select theorem, unnest(ps).cluster_label as label from bt0 where theorem is not null) left join fl using (label)),
+on1 as (select cm.cid i, j, count(*) w from pl join cm on cm.name = pl.theorem where cm.cid <> j and j in (select cid from lab) and cm.cid in (select cid from lab) group by 1, 2),
+w as (select i, j, sum(w)::bigint weight from (select i, j, w from on1 union all select j, i, w from on1) group by 1, 2),
+rs as (select *, weight / (sum(weight) over (partition by i))::double p from w),
+ig as (select lab.cid, coalesce(-sum(p * log2(p + 1e-12)), 0) integration, coalesce(sum(weight), 0)::bigint total_bridge_connections from lab left join rs on rs.i = lab.cid group by 1)"""
 _CODES = f"""{EVENTS},
 q as (select * from es where len(items) >= 5),
 tc as (select cid, count(*) n_proofs, row_number() over (order by count(*) desc, cid) cluster_rank from q group by 1 order by 2 desc, 1 limit 30),
@@ -189,6 +197,10 @@ select bridge, case when n_a > 0 and n_b > 0 then 'yes' when n_a + n_b > 0 then
     "differentiation": f"with {RECORDED}, {_DF} select cid, round(differentiation, 6) + 0.0 differentiation from df",
     "neural_complexity": f"with {RECORDED}, {_NC} select cid, label, size, round(integration, 6) + 0.0 integration, round(differentiation, 6) + 0.0 differentiation, round(neural_complexity, 6) + 0.0 neural_complexity, total_bridge_connections, is_mixed from nc",
     "global_cn": f"with {RECORDED}, {_W} select round(coalesce(sum(weight * abs(a.integration - b.integration)) / sum(weight), 0), 6) global_cn from w join ig a on a.cid = i join ig b on b.cid = j where i < j",
+    "recorded_interaction_matrix": f"with {_RW} select * from w",
+    "recorded_complexity": f"with {_RW}, {_DF} select cid, round(integration, 6) + 0.0 integration, round(integration * differentiation, 6) + 0.0 neural_complexity, total_bridge_connections from ig join df using (cid)",
+    "bridge_theorem_report": f"""with {RECORDED}, {_BT}, f as (select theorem, n_premise_clusters n, l.label own, array_to_string(list_sort(list_distinct(string_split(labels, ';'))), ' · ') ls, row_number() over (order by n_premise_clusters desc, encode(theorem)) r from bt join lab l on l.cid = cid_s)
+select r::int rank, printf('%3d  ', r) || rpad(case when len(theorem) > 57 then theorem[1:54] || '...' else theorem end, 57, ' ') || printf('  %2d  ', n) || '[' || own || ']  ' || ls line from f where r <= 200""",
     "cluster_graph_edges": f"with {_X} select cid_a, cid_b, round(weight, 6) weight from ce",
     "plot_cluster_edges": f"""with {ALL}, {_X}, k as (select ce.* from ce where cid_a in (select cid from lab) and cid_b in (select cid from lab)), mm as (select min(weight) lo, max(weight) hi from k)
 select cid_a, cid_b, round(0.3 + 2.5 * (weight - lo) / (hi - lo + 1e-12), 6) width from k, mm""",

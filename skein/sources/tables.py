@@ -20,3 +20,9 @@ def first_delivery(df: DataFrame, key: str, keep: dict[str, Column], order: str
     packed = F.struct(F.col(order).isNull().alias("_no"), F.col(order).alias("_at"), *[c.alias(n) for n, c in keep.items()])
     won = df.where(F.col(key).isNotNull()).select(key, packed.alias("_row")).groupBy(key).agg(F.min("_row").alias("_row"))
     return won.select(key, *[F.col(f"_row.{n}").alias(n) for n in keep])
+
+
+def register(spark: SparkSession, folder: str, names: list[str]) -> None:
+    """The tables as temporary views, to be queried with ``spark.sql``."""
+    for name in names:
+        table(spark, folder, name).createOrReplaceTempView(name)

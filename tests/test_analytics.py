@@ -232,3 +232,25 @@ def test_stream_equals_batch(spark, tmp_path):
     steps = [(t + timedelta(days=i), i % 5, "· rw [x]" if i % 2 else "") for i in range(20)]
     s = spark.createDataFrame(steps, "recorded_at timestamp, step_id long, tactic string")
     assert sum(r["n"] for r in arrivals.word_counts(s).collect()) == 5 or arrivals.word_counts(s).count() > 0
+
+
+def test_labels_back_to_clusters(spark):
+    lab = spark.createDataFrame([(4, "A"), (2, "A"), (3, "B")], "cid int, label string")
+    rec = spark.createDataFrame([("t", [("p", "A", 9), ("q", "B", 1), ("r", None, 2), ("s", "?", 1)])], "theorem string, cross_cluster_premises array<struct<premise string, cluster_label string, in_degree long>>")
+    assert rows(complexity.by_label(rec, lab)) == [("t", (("p", 2, 9), ("q", 3, 1), ("r", -1, 2), ("s", -1, 1)))]
+    assert rows(complexity.by_label(rec, lab, theta=2, kept=2)) == [("t", (("q", 3, 1), ("r", -1, 2)))]
+
+
+def test_report_of_candidates(spark):
+    found = spark.createDataFrame([("t", 2, 1, [("p", 1, 3), ("q", 2, 1), ("r", 9, 2)])], "theorem string, n_clusters long, min_cross_indegree long, cross_premises array<struct<premise string, cid int, in_degree long>>")
+    lab = spark.createDataFrame([(1, "B"), (2, "A")], "cid int, label string")
+    line = reports.of_candidates(found, lab).first()["line"]
+    assert line.endswith("? · A · B  q(1), r(2), p(3)") and line.startswith("  1  t ")
+
+
+def test_views(spark, tmp_path):
+    from skein.sources.tables import register
+
+    spark.range(3).write.parquet(f"{tmp_path}/some.parquet")
+    register(spark, str(tmp_path), ["some"])
+    assert spark.sql("select count(*) from some").first()[0] == 3
