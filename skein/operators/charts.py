@@ -6,10 +6,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The colour of each top module in the charts, and that of all others.
+COLOURS = {
+    "Algebra": "#4C72B0",
+    "Analysis": "#DD8452",
+    "CategoryTheory": "#55A868",
+    "Combinatorics": "#C44E52",
+    "Data": "#8172B3",
+    "FieldTheory": "#937860",
+    "Geometry": "#DA8BC3",
+    "GroupTheory": "#8C8C8C",
+    "LinearAlgebra": "#CCB974",
+    "MeasureTheory": "#64B5CD",
+    "ModelTheory": "#e377c2",
+    "NumberTheory": "#7f7f7f",
+    "Order": "#bcbd22",
+    "RingTheory": "#17becf",
+    "Topology": "#aec7e8",
+    "AlgebraicGeometry": "#ffbb78",
+    "AlgebraicTopology": "#98df8a",
+    "Computability": "#ff9896",
+    "External": "#c5b0d5",
+    "Unknown": "#c7c7c7",
+}
+OTHER_COLOUR = "#c7c7c7"
+
+
 def first_label(c: str):
     return F.split(c, r" \+ ")[0]
 
 
+def colour(c: str):
+    """Colour of a label, by the first module it names."""
+    known = F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, first_label(c)), F.lit(OTHER_COLOUR))
+
+
+def legend(labelled: DataFrame) -> DataFrame:
+    """``module, colour``: the modules that stand first in a label."""
+    return labelled.select(first_label("label").alias("module"), colour("label").alias("colour")).distinct()
+
+
 def cluster_edges(bridges: DataFrame) -> DataFrame:
     """``cid_a, cid_b, weight``: sum of the scores of the bridges two clusters share (``bridge_id, bridge_score, cids``)."""
     each = bridges.select("bridge_id", "bridge_score", F.explode("cids").alias("cid"))
@@ -28,11 +65,11 @@ def edge_widths(edges: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def cluster_nodes(labelled: DataFrame, shown_from: int = 300) -> DataFrame:
-    return labelled.select("cid", (F.sqrt("size") * 8).alias("node_size"), first_label("label").alias("colour"), F.when(F.col("size") > shown_from, F.col("label")).alias("shown_label"))
+    return labelled.select("cid", (F.sqrt("size") * 8).alias("node_size"), colour("label").alias("colour"), F.when(F.col("size") > shown_from, F.col("label")).alias("shown_label"))
 
 
 def purity(labelled: DataFrame, named_from: int = 1000) -> DataFrame:
-    return labelled.select("cid", "dominant_fraction", "norm_entropy", (F.sqrt("size") * 5).alias("marker_size"), first_label("label").alias("colour"), F.when(F.col("size") > named_from, first_label("label")).alias("shown_label"), (F.col("dominant_fraction") < 0.4).alias("left_of_line"))
+    return labelled.select("cid", "dominant_fraction", "norm_entropy", (F.sqrt("size") * 5).alias("marker_size"), colour("label").alias("colour"), F.when(F.col("size") > named_from, first_label("label")).alias("shown_label"), (F.col("dominant_fraction") < 0.4).alias("left_of_line"))
 
 
 def hierarchy(sub_labelled: DataFrame, top: int = 15, named_from: float = 0.08) -> DataFrame:

@@ -538,6 +538,11 @@ def plot_cluster_nodes(spark, d):
     return n.select("cid", r6("node_size").alias("node_size"), "colour", "shown_label")
 
 
+@query
+def plot_legend(spark, d):
+    return charts.legend(base.recorded_labels(spark, d))
+
+
 @query
 def plot_purity(spark, d):
     p = charts.purity(base.labelled(spark, d, base.steps(spark, d, "file_path", "premises")))

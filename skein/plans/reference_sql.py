@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.names import WHITE, quoted, sql_name, sql_tokens
 from ..functions.paths import sql_module_of, sql_top_module
 from ..functions.text import GENERIC, sql_collapsed, sql_normalised
+from ..operators.charts import COLOURS, OTHER_COLOUR
 from ..operators.validation import KNOWN_BRIDGES
 from .base import ABSTRACT, ALL, CLUSTERS, CORPUS, EDGES, EVENTS, GRAPH, LABELS, NODES, PROOFS, RECORDED, ST
 
@@ -87,6 +88,7 @@ ig as (select lab.cid, coalesce(-sum(p * log2(p + 1e-12)), 0) integration, coale
 _DF = """tm as (select cid, cnt / (sum(cnt) over (partition by cid))::double p from tmod),
 df as (select cid, 1 + sum(p * log2(p + 1e-12)) / log2(count(*) + 1) differentiation from tm group by 1)"""
 _NC = f"{_W},\n{_DF},\nnc as (select lab.*, integration, differentiation, integration * differentiation neural_complexity, total_bridge_connections from lab join ig using (cid) join df using (cid))"
+_COLOUR = "case string_split(label, ' + ')[1] " + " ".join(f"when '{m}' then '{c}'" for m, c in COLOURS.items()) + f" else '{OTHER_COLOUR}' end"
 _RW = f"""{RECORDED},
 bt0 as (select bridge_id, {sql_name('any_value(theorem)')} theorem, any_value(cross_cluster_premises) ps from bridge_theorems_filtered group by 1),
 fl as (select label, min(cid) cid from lab group by 1),
@@ -204,8 +206,9 @@ select r::int rank, printf('%3d  ', r) || rpad(case when len(theorem) > 57 then
     "cluster_graph_edges": f"with {_X} select cid_a, cid_b, round(weight, 6) weight from ce",
     "plot_cluster_edges": f"""with {ALL}, {_X}, k as (select ce.* from ce where cid_a in (select cid from lab) and cid_b in (select cid from lab)), mm as (select min(weight) lo, max(weight) hi from k)
 select cid_a, cid_b, round(0.3 + 2.5 * (weight - lo) / (hi - lo + 1e-12), 6) width from k, mm""",
-    "plot_cluster_nodes": f"with {ALL} select cid, round(sqrt(size) * 8, 6) node_size, string_split(label, ' + ')[1] colour, case when size > 300 then label end shown_label from lab",
-    "plot_purity": f"with {ALL} select cid, round(dominant_fraction, 6) dominant_fraction, round(norm_entropy, 6) norm_entropy, round(sqrt(size) * 5, 6) marker_size, string_split(label, ' + ')[1] colour, case when size > 1000 then string_split(label, ' + ')[1] end shown_label, dominant_fraction < 0.4 left_of_line from lab",
+    "plot_cluster_nodes": f"with {ALL} select cid, round(sqrt(size) * 8, 6) node_size, {_COLOUR} colour, case when size > 300 then label end shown_label from lab",
+    "plot_legend": f"select distinct string_split(label, ' + ')[1] as module, {_COLOUR} colour from cluster_labels",
+    "plot_purity": f"with {ALL} select cid, round(dominant_fraction, 6) dominant_fraction, round(norm_entropy, 6) norm_entropy, round(sqrt(size) * 5, 6) marker_size, {_COLOUR} colour, case when size > 1000 then string_split(label, ' + ')[1] end shown_label, dominant_fraction < 0.4 left_of_line from lab",
     "plot_hierarchy": f"""with {_HIER} select top, sub::int sub, bar, total, round(fraction, 6) fraction, round(coalesce(sum(fraction) over (partition by top order by cnt desc, sub rows between unbounded preceding and 1 preceding), 0), 6) as left, case when fraction > 0.08 then label end shown_label from fr""",
     "plot_complexity": f"with {RECORDED}, {_NC} select cid, greatest(20, 5 * total_bridge_connections) marker_size, round(neural_complexity, 6) + 0.0 neural_complexity, row_number() over (order by round(neural_complexity, 9) desc, cid) <= 20 in_bars from nc",
     "label_report": f"""with {ALL}, t as (select *, row_number() over (order by size desc, cid) r from lab) select r::int rank, printf('%3d  C%-4d %6d  %s', r, cid, size, case when len(label) > 57 then label[1:54] || '...' else label end) line from t where r <= 40""",
