@@ -280,3 +280,28 @@ def test_residue_cases(spark):
 
 def test_residue_empty(spark):
     assert not residue.residue(spark.createDataFrame([], "doc_id long, text string")).count()
+
+
+def test_groups_follow_from_pairs(spark):
+    d = str(DATA / "sf0.01")
+    pairs = [tuple(r) for r in queries.p5_found(spark, d).select("name_a", "name_b").collect()]
+    groups = {r["name"]: (r["group_id"], r["n_links"]) for r in queries.p5_groups(spark, d).collect()}
+    links = Counter(n for p in pairs for n in p)
+    assert {n: k for n, (_, k) in groups.items() if k} == dict(links)
+    parent = {n: n for n in groups}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    both = {(root(n), g) for n, (g, _) in groups.items()}
+    assert len(both) == len({a for a, _ in both}) == len({b for _, b in both})
+
+
+def test_clean_is_the_rest(spark):
+    d = str(DATA / "sf0.001")
+    found, clean = queries.p9_found(spark, d), queries.p9_clean(spark, d)
+    assert clean.join(found, "doc_id").count() == 0 and found.count() + clean.count() == spark.read.parquet(f"{d}/documents.parquet").count()
