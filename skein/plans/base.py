@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_name, clean_names, sql_name
-from ..functions.paths import module_of, sql_module_of, sql_top_module, top_module
+from ..functions.paths import module_of, sql_top_module, top_module
 from ..functions.text import normalised, sql_normalised, token_stream
 from ..operators import graph, labels
 from ..sources.tables import first_delivery, table
