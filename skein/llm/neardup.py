@@ -20,8 +20,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
-
 GROUPS, POINTS, DIMENSION, PRIME, SEED = 11, 4, 3, 2**31 - 1, 20240607
 #: Bits of the sketch in which two sets of similarity 0.7 differ: 9.6 expected, more than 24 once in 410,000.
 SKETCH_BITS = 24
