@@ -278,6 +278,20 @@ def test_residue_cases(spark):
     assert set(RESIDUE) - found == set()
 
 
+def found_in(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = residue.residue(df).collect()
+    return {(texts[r["doc_id"]], r["reason"]) for r in got}
+
+
+def test_residue_induces_slots(spark):
+    filled = [f"Title: {a} {b}\nWritten by {a}, release {i}.\nThe set {a.lower()} is {w}." for i, (a, b, w) in enumerate([("Fold", "Mesh", "open"), ("Mesh", "Loom", "closed"), ("Spire", "Crest", "small"), ("Norm", "Trace", "flat"), ("Graph", "Form", "free")])]
+    left = ["Title: {title}\nFine.", "Title: [TITLE]\nGood.", "Title: <TITLE>\nNice.", "Title: $title\nWell.", "We go on.\nWritten by undefined, release 8.", "Written by null, release 7.", "Written by TBD, release 6.", "Title: \nOwner: Fold", "Written by , release 3."]
+    alone = ["{title}", "[TITLE]", "undefined", "TBD", "Name: ____", "Author: {author}"]
+    fine = ["The set fold is null.", "The list:\n\na paragraph", "Let {x} be [a] and <b>bold</b>.", "The value `{title}` is set.", "It says \"Written by null\" there.", "A price of $five is low.", "See {mesh} for more."]
+    assert found_in(spark, filled + left + alone + fine) == {(x, "placeholder") for x in left + alone}
+
+
 def test_residue_empty(spark):
     assert not residue.residue(spark.createDataFrame([], "doc_id long, text string")).count()
 
