@@ -8,8 +8,9 @@ value, names, numbers), and aligned with all other records of the same template
 * other slots are induced: what stands between the same words in other records, where it varies. A record whose value there
   is a variable's name in marks of any kind, a default, a blank or nothing is residue; so is such a value that is the whole
   text, or follows a label of its own name, or stands alone in its line where the name is left over elsewhere;
-* a page in the form of a server's answer is residue if its form recurs; its slot gives the messages of that server, and
-  a sentence elsewhere that is one of these messages as a whole is residue too;
+* a page in the form of a server's answer is residue if its form recurs, or if it has a status of failure and is the whole
+  text; with such a status, its form is its structure (tags, names of headers or keys) and no value of it. Its slot gives the
+  messages of that server, and a sentence elsewhere that is one of these messages as a whole is residue too;
 * a notice about scripts is aligned over one free slot (the thing that can't be shown), and is residue if its template
   recurs, if it stands in a noscript element, or if it is the whole text; what noscript elements say is a notice elsewhere;
 * filler is told by words that occur in sentences of known filler words and hardly anywhere else, by one short sentence
@@ -58,10 +59,13 @@ def _patterns() -> dict[str, re.Pattern]:
     ask = rf"[\[(<](?:{before})\s([^\[\]()<>\n]{{1,40}}?)(?:\s(?:{after}))?[\])>]|[\[(<]([^\[\]()<>\n]{{1,30}}?)\s(?:{after})[\])>]"
     return {
         "slot": re.compile("|".join(d.replace("N", name) for d in DELIMITERS) + "|(?i:" + ask + ")"),
+        "plain": re.compile(r"\{\{.*\}\}|\$!?\{\s*[A-Za-z][\w.]{2,}\s*\}|<%.*%>|\{%.*%\}|@@.*@@|%[A-Z]\w{2,}%|[\[(<][^\[\]()<>]* [^\[\]()<>]*[\])>]"),
         "fence": re.compile(r"```.*?(?:```|\Z)", re.S),
         "span": re.compile(r"`[^`\n]*`"),
         "quote": re.compile(r'"[^"\n]*"|«[^»\n]*»|„[^“”\n]*[“”]|“[^”\n]*”'),
         "cut": re.compile(r"\n+|(?<=[.!?…])\s+"),
+        "failure": re.compile(r"(?is)<(title|h1)[^>]*>(?:(?!</\1).)*?\b[45]\d\d\b|^HTTP/\d(?:\.\d)? [45]\d\d|^\{\s*\"status\":\s*[45]\d\d|^\w+\s*[45]\d\d\s*:"),
+        "structure": re.compile(r"</?[A-Za-z][A-Za-z0-9]*|\"[^\"\n]*\"(?=\s*:)|^[\w-]+(?=:)|^HTTP/|^\w+(?=\s*\d{3}\s*:)", re.M),
         "word": re.compile(r"[^\W\d_]+"),
         "token": re.compile(r"[\[<{][^\[\]<>{}\n]{1,40}[\]>}]|[^\s.,;:!?]+(?:[.:][^\s.,;:!?]+)*|[.,;:!?]+"),
         "odd": re.compile(r"[\[<{]\s*(?P<n1>[A-Za-z][\w.-]{2,}(?: [\w.-]+){0,2})\s*[\]>}]|[$%](?P<n2>[A-Za-z][\w.]{2,})|(?P<blank>_{3,})"),
@@ -69,7 +73,7 @@ def _patterns() -> dict[str, re.Pattern]:
         "label": re.compile(r"\s*[^\W\d_][^:\n]{0,40}:(?:\s|$)"),
         "scripts": re.compile(SCRIPTS),
         "noscript": re.compile(r"(?is)<noscript>(.*?)</noscript>"),
-        "page": re.compile(r"(?i)<html>.*?<h1>(?P<html>.*?)</h1>.*?</html>|\{\s*\"status\":\s*\d{3},\s*\"error\":\s*\"(?P<json>.*?)\"[^}]*\}|(?m:(?:^|(?<=\s))(?:error|erreur|fehler)\s*\d{3}\s*:\s*(?P<line>.*)$)|HTTP/\d(?:\.\d)? \d{3}[^\n]*\n(?:[\w-]+:[^\n]*\n)*\n?(?P<http>[^\n]*)"),
+        "page": re.compile(r"(?i)<html>.*?<h1>(?P<html>.*?)</h1>.*?</html>|(?s:<html[^>]*>(?:(?!</?html).)*?<h1[^>]*>(?P<long>(?:(?!</?html).)*?)</h1>(?:(?!</?html).)*?</html>)|\{\s*\"status\":\s*\d{3},\s*\"error\":\s*\"(?P<json>.*?)\"[^}]*\}|(?m:(?:^|(?<=\s))(?:error|erreur|fehler)\s*\d{3}\s*:\s*(?P<line>.*)$)|HTTP/\d(?:\.\d)? \d{3}[^\n]*\n(?:[\w-]+:[^\n]*\n)*\n?(?P<http>[^\n]*)"),
     }
 
 
@@ -78,6 +82,12 @@ def _plain(s: str) -> str:
     return " ".join(re.sub(r"[\W_]+", " ", bare).split())
 
 
+def _rest(text: str, page: re.Match) -> str:
+    """What a text has besides a page: after the first line of an HTTP body, the body's rest belongs to the page."""
+    after = "" if page.group(0)[:5].upper() == "HTTP/" and len(text) - page.end() < 2 * SHORT else text[page.end() :]
+    return re.sub(r"(?i)<!doctype[^>]*>", "", text[: page.start()]).strip() + after.strip()
+
+
 def _number(s: str) -> int:
     return int.from_bytes(blake2b(s.encode(), digest_size=8).digest(), "big", signed=True)
 
@@ -194,14 +204,20 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spoken = P["span"].sub(lambda c: "◊" if P["slot"].fullmatch(c.group(0)[1:-1].strip()) else c.group(0), spoken)
         slots = [(s, m) for s in P["cut"].split(P["quote"].sub("§", spoken)) for m in P["slot"].finditer(s)] if P["slot"].search(spoken) else []
         for s, m in slots:
-            yield "slot", doc, mask(s), next(g for g in m.groups() if g).lower().rpartition(".")[2], len(slots), 0
+            alone = P["plain"].fullmatch(m.group(0)) and (s.strip() == m.group(0) or re.search(r":\s*$", s[: m.start()]))
+            yield "slot", doc, mask(s), next(g for g in m.groups() if g).lower().rpartition(".")[2], len(slots), int(bool(alone))
         yield from _holes(P, doc, text)
         prose = P["span"].sub("◊", P["fence"].sub("◊", text))
         for m in P["page"].finditer(prose):
             message = next((g for g in m.groups() if g), "")
-            page = re.sub(r"\d+", "9", m.group(0).replace(message, "□") if message else m.group(0))
+            failure = P["failure"].match(m.group(0)) or (m.group(0)[0] == "<" and P["failure"].search(m.group(0)))
+            if failure:
+                page = " ".join(P["structure"].findall(m.group(0))).lower()
+            else:
+                page = re.sub(r"\"id\": \"[^\"]*\"|docsrv/\S*|Content-Length: \d+", "", re.sub(r"\d+", "9", m.group(0).replace(message, "□") if message else m.group(0)))
+            whole = bool(failure) and not _rest(prose, m)
             for s in P["cut"].split(message) or [""]:
-                yield "page", doc, re.sub(r"\"id\": \"[^\"]*\"|docsrv/\S*|Content-Length: \d+", "", page), _plain(s), _number(_plain(s)), 0
+                yield "page", doc, page, _plain(s), _number(_plain(s)), int(whole)
         sentences = [s.strip() for s in P["cut"].split(prose) if s.strip()]
         inside = {s.strip() for x in P["noscript"].findall(prose) for s in P["cut"].split(x)}
         told = [s for s in sentences if P["scripts"].search(P["quote"].sub("§", s)) and "◊" not in s]
@@ -288,7 +304,7 @@ def residue(documents: DataFrame) -> DataFrame:
         return df.groupBy(c).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(c)
 
     slots = kind("slot")
-    placeholders = slots.where("n > 1").select("doc_id")
+    placeholders = slots.where("n > 1 or m = 1").select("doc_id")
     for c in ("key", "sub"):
         placeholders = placeholders.unionByName(slots.join(recurring(slots, c), c, "left_semi").select("doc_id"))
     named = placeholders.join(slots, "doc_id").select("sub")
@@ -296,7 +312,8 @@ def residue(documents: DataFrame) -> DataFrame:
     names = missing.where("name <> ''").select(F.col("name").alias("sub")).unionByName(named).distinct()
     placeholders = placeholders.unionByName(missing.select("doc_id")).unionByName(kind("lone").join(names, "sub", "left_semi").select("doc_id"))
     pages = kind("page").join(recurring(kind("page"), "key"), "key", "left_semi")
-    messages = pages.where("sub <> ''").select(F.col("n").alias("number")).distinct()
+    pages = pages.unionByName(kind("page").where("m = 1").select(pages.columns))
+    messages = pages.where("sub rlike '[a-z].* .*[a-z]' or (sub <> '' and m = 0 and not sub rlike '^[0-9 ]*$')").select(F.col("n").alias("number")).distinct()
     sentences = kind("sentence")
     errors = pages.select("doc_id").unionByName(sentences.join(messages, F.col("n") == F.col("number"), "left_semi").select("doc_id"))
     notices = kind("notice")

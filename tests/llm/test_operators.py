@@ -292,6 +292,18 @@ def test_residue_induces_slots(spark):
     assert found_in(spark, filled + left + alone + fine) == {(x, "placeholder") for x in left + alone}
 
 
+def test_residue_pages_by_structure(spark):
+    amid = ["Fold is fine.\n<html><h1>503</h1><p>Request ID: %s</p></html>\nMesh is, too." % x for x in ("9fa3c7", "bb12")]
+    amid += ["Fold.\nHTTP/1.1 502 Bad\nServer: %s\nX-Request-Id: %s\n\nThe upstream is gone\nMesh is fine here, and it goes on for much longer than any page would go on.\nLoom is a word, and so is spire, as all of us know by now.\n" % x for x in (("apex", "ab12cd"), ("nadir", "ff3e"))]
+    amid += ['Fold.\n{"status": 500, "error": "Broken", "path": "%s"}\nMesh.' % x for x in ("/a/fold", "/b/mesh/loom")]
+    whole = ["<html>\n<head><title>404</title></head>\n<body><h1>Nothing lies here</h1></body>\n</html>", "Error 429: Far too many calls", "HTTP/1.1 403 Forbidden\nVia: x\n\nKeep out of this"]
+    said = ["Spire.\nNothing lies here.\nCrest."]
+    fine = ["503", "It is 503. We go on.", "<html><h1>Fold</h1></html>", "HTTP/1.1 200 OK\nVia: y\n\nAll is well", "The call gave error 404 after the rename."]
+    assert found_in(spark, amid + whole + said + fine) == {(x, "error_page") for x in amid + whole + said}
+    left = ["Title: {{ title }}", "${file}"]
+    assert found_in(spark, [left[0], "Fine."]) | found_in(spark, [left[1], "Let ${x} be."]) == {(x, "placeholder") for x in left}
+
+
 def test_residue_empty(spark):
     assert not residue.residue(spark.createDataFrame([], "doc_id long, text string")).count()
 
