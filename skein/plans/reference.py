@@ -367,9 +367,26 @@ def filtered_bridges(spark, d):
 # similarity
 
 
-def _event_codes(spark, d):
+def _event_codes(spark, d, k=10):
     p = written(base.event_sequences(spark, d).where(F.size("items") >= similarity.LEAST_STEPS))
-    return written(similarity.coded(similarity.top_proofs(p, similarity.top_clusters(p), 10)))
+    return written(similarity.coded(similarity.top_proofs(p, similarity.top_clusters(p), k)))
+
+
+def _proof_codes(spark, d):
+    s = written(base.steps(spark, d, "tactic"))
+    p = written(base.abstract_proofs(s).where(F.size("items") >= similarity.LEAST_STEPS).join(base.clusters(spark, d), "name"))
+    return written(similarity.coded(similarity.top_proofs(p, similarity.top_clusters(p))))
+
+
+def _distances(c):
+    p = c.alias("x").join(c.alias("y"), (F.col("x.cid") == F.col("y.cid")) & (F.col("x.rn") < F.col("y.rn")))
+    return p.select(F.col("x.cid").alias("cid"), F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b"), F.levenshtein("x.code", "y.code").cast("long").alias("edits"), r6(similarity.distance(F.col("x.code"), F.col("y.code"), F.col("x.len"), F.col("y.len"))).alias("norm_edit_dist"))
+
+
+def _bridges_of_events(spark, c):
+    none = spark.createDataFrame([], "cid int, label string")
+    b = similarity.edit_bridges(c, none)
+    return b.select("cluster_a", "cluster_b", "theorem_a", "theorem_b", r6("norm_edit_dist").alias("norm_edit_dist"), r6("surprise").alias("surprise"))
 
 
 @query
@@ -386,9 +403,19 @@ def top_proofs_per_cluster(spark, d):
 @query
 def token_edit_distance(spark, d):
     """Distances between the ten longest sequences of each cluster of users."""
-    c = _event_codes(spark, d)
-    p = c.alias("x").join(c.alias("y"), (F.col("x.cid") == F.col("y.cid")) & (F.col("x.rn") < F.col("y.rn")))
-    return p.select(F.col("x.cid").alias("cid"), F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b"), F.levenshtein("x.code", "y.code").cast("long").alias("edits"), r6(similarity.distance(F.col("x.code"), F.col("y.code"), F.col("x.len"), F.col("y.len"))).alias("norm_edit_dist"))
+    return _distances(_event_codes(spark, d))
+
+
+@query
+def event_edit_distance_full(spark, d):
+    """The same between the ``PER_CLUSTER`` longest."""
+    return _distances(_event_codes(spark, d, similarity.PER_CLUSTER))
+
+
+@query
+def proof_edit_distance(spark, d):
+    """Distances between the ``PER_CLUSTER`` longest proofs of each cluster."""
+    return _distances(_proof_codes(spark, d))
 
 
 @query
@@ -396,19 +423,26 @@ def edit_baseline(spark, d):
     return similarity.baseline(_event_codes(spark, d)).select(r6("baseline").alias("baseline"))
 
 
+@query
+def proof_edit_baseline(spark, d):
+    return similarity.baseline(_proof_codes(spark, d)).select(r6("baseline").alias("baseline"))
+
+
 @query
 def event_edit_bridges(spark, d):
-    none = spark.createDataFrame([], "cid int, label string")
-    b = similarity.edit_bridges(_event_codes(spark, d), none)
-    return b.select("cluster_a", "cluster_b", "theorem_a", "theorem_b", r6("norm_edit_dist").alias("norm_edit_dist"), r6("surprise").alias("surprise"))
+    """Bridges between the ten longest sequences of each cluster of users."""
+    return _bridges_of_events(spark, _event_codes(spark, d))
+
+
+@query
+def event_edit_bridges_full(spark, d):
+    """The same between the ``PER_CLUSTER`` longest."""
+    return _bridges_of_events(spark, _event_codes(spark, d, similarity.PER_CLUSTER))
 
 
 @query
 def edit_bridges(spark, d):
-    s = written(base.steps(spark, d, "tactic"))
-    p = written(base.abstract_proofs(s).where(F.size("items") >= similarity.LEAST_STEPS).join(base.clusters(spark, d), "name"))
-    c = written(similarity.coded(similarity.top_proofs(p, similarity.top_clusters(p))))
-    return similarity.edit_bridges(c, base.recorded_labels(spark, d)).drop("seq_a", "seq_b")
+    return similarity.edit_bridges(_proof_codes(spark, d), base.recorded_labels(spark, d)).drop("seq_a", "seq_b")
 
 
 # validation

@@ -214,3 +214,6 @@ select cid_a, cid_b, round(0.3 + 2.5 * (weight - lo) / (hi - lo + 1e-12), 6) wid
     "label_report": f"""with {ALL}, t as (select *, row_number() over (order by size desc, cid) r from lab) select r::int rank, printf('%3d  C%-4d %6d  %s', r, cid, size, case when len(label) > 57 then label[1:54] || '...' else label end) line from t where r <= 40""",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') start, event_type, count(*) n, round(sum(value), 3) total from events group by 1, 2",
 }
+
+#: The queries of ten sequences a cluster over the operator's thirty: the same SQL with the wider cut.
+SQL |= {f"{to}_full": SQL[name].replace("qualify rn <= 10", "qualify rn <= 30") for name, to in (("token_edit_distance", "event_edit_distance"), ("event_edit_bridges", "event_edit_bridges"))}

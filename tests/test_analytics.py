@@ -4,10 +4,11 @@ import math
 import random
 
 import pytest
-from conftest import rows
+from conftest import DATA, rows
 from pyspark.sql import functions as F
 
 from skein.operators import bridges, charts, complexity, labels, ngrams, reports, similarity, validation
+from skein.plans import reference
 
 
 def members(spark, counts):
@@ -131,6 +132,17 @@ def test_edit_bridges_against_brute_force(spark):
     assert rows(got, "cluster_a", "cluster_b", "theorem_a", "theorem_b", "norm_edit_dist") == sorted(want, key=repr)
 
 
+def test_edit_queries_take_all_of_a_cluster(spark):
+    d, k = str(DATA / "sf0.01"), similarity.PER_CLUSTER
+    for query, known in ((reference.proof_edit_distance, reference._proof_codes(spark, d)), (reference.event_edit_distance_full, reference._event_codes(spark, d, k))):
+        sizes = {r["cid"]: r["count"] for r in known.groupBy("cid").count().collect()}
+        pairs = {r["cid"]: r["count"] for r in query(spark, d).groupBy("cid").count().collect()}
+        assert 10 < max(sizes.values()) <= k and pairs == {c: n * (n - 1) // 2 for c, n in sizes.items() if n > 1}
+    ten, full = ({(r["cluster_a"], r["cluster_b"]): r["norm_edit_dist"] for r in q(spark, d).collect()} for q in (reference.event_edit_bridges, reference.event_edit_bridges_full))
+    assert all(full[p] <= e for p, e in ten.items()) and any(full[p] < e for p, e in ten.items())
+    assert 0 < reference.proof_edit_baseline(spark, d).first()[0] <= 1
+
+
 def test_validation_verdicts(spark):
     known = {"b": {"x": "foo Foo", "y": "bar"}, "c": {"x": "foo", "y": "nothing"}, "d": {"x": "no", "y": "none"}}
     clusters = spark.createDataFrame([("foo1", 1), ("Foo", 2), ("bar", 3), ("foobar", 4)], "name string, cid int")
