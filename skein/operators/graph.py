@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import discard, written
 
 
 def undirected_edges(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
 
     Every round links each node's larger neighbours, or its smaller ones, to the least node it knows. A hub's neighbours are
     never collected: the least is a combinable aggregate and the links are joined back. Every round is written to the shared
-    folder, which cuts the lineage. Stops when a round leaves the edges as they were. ``nodes`` (``name``) adds the
+    folder, which cuts the lineage, and takes the place of the one before. Stops when a round leaves the edges as they were. ``nodes`` (``name``) adds the
     isolated ones, each its own component.
     """
     links = written(undirected_edges(edges))
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
 
     before = sign(links)
     for _ in range(max_rounds):
-        links = written(star(star(links, True), False))
+        links, last = written(star(star(links, True), False)), links
+        discard(last)
         now = sign(links)
         if now == before:
             break

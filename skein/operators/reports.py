@@ -41,12 +41,13 @@ def of_edit_bridges(found: DataFrame, top: int = 100) -> DataFrame:
     return lines(found, [F.col("norm_edit_dist"), F.col("cluster_a"), F.col("cluster_b")], "%3d  %.3f  %s ↔ %s  %s | %s  %s", F.col("norm_edit_dist"), F.col("label_a"), F.col("label_b"), shortened("theorem_a"), shortened("theorem_b"), first, top=top)
 
 
-def of_candidates(found: DataFrame, labelled: DataFrame, top: int = 40) -> DataFrame:
-    """Filtered bridges with the labels reached, merged and sorted, and their premises by in-degree."""
+def of_candidates(found: DataFrame, labelled: DataFrame, theta: int | None = None, top: int = 200) -> DataFrame:
+    """Filtered bridges with the labels reached, merged and sorted, and their premises (of in-degree up to ``theta``) by in-degree."""
     first = found.orderBy(F.desc("n_clusters"), "min_cross_indegree", "theorem").limit(top)
     named = first.select("theorem", "n_clusters", "min_cross_indegree", F.explode("cross_premises").alias("p")).join(labelled.select(F.col("cid").alias("c"), "label"), F.col("p.cid") == F.col("c"), "left")
     per = named.groupBy("theorem", "n_clusters", "min_cross_indegree").agg(F.collect_set(F.coalesce("label", F.lit("?"))).alias("labels"), F.array_sort(F.collect_list(F.struct("p.in_degree", "p.premise"))).alias("ps"))
-    premises = F.array_join(F.transform("ps", lambda p: F.concat(p["premise"], F.lit("("), p["in_degree"].cast("string"), F.lit(")"))), ", ")
+    low = F.col("ps") if theta is None else F.filter("ps", lambda p: p["in_degree"] <= theta)
+    premises = F.array_join(F.transform(low, lambda p: F.concat(p["premise"], F.lit("("), p["in_degree"].cast("string"), F.lit(")"))), ", ")
     return lines(per, [F.desc("n_clusters"), F.col("min_cross_indegree"), F.col("theorem")], "%3d  %-57s  %2d  %3d  %s  %s", shortened("theorem"), F.col("n_clusters"), F.col("min_cross_indegree"), joined_labels("labels"), premises, top=top)
 
 

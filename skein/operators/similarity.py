@@ -25,8 +25,8 @@ def top_proofs(proofs: DataFrame, chosen: DataFrame, k: int = PER_CLUSTER) -> Da
 
 def coded(chosen: DataFrame) -> DataFrame:
     """``chosen`` with ``code``: its first ``CUT`` items as one character each, so the built-in edit distance works on items."""
-    items = chosen.select(F.explode("items").alias("item")).distinct()
-    number = items.withColumn("c", F.row_number().over(Window.orderBy("item")) + F.lit(_FIRST - 1))  # items of at most k x k proofs
+    items = chosen.select(F.explode(F.slice("items", 1, CUT)).alias("item")).distinct()
+    number = items.withColumn("c", F.row_number().over(Window.orderBy("item")) + F.lit(_FIRST - 1))  # CUT items each of at most k x k proofs
     number = number.select("item", F.when(F.col("c") >= _HOLE, F.col("c") + _HOLE_SIZE).otherwise(F.col("c")).alias("c"))
     placed = chosen.select("cid", "rn", F.posexplode(F.slice("items", 1, CUT)).alias("pos", "item")).join(number, "item")
     text = F.decode(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: F.lpad(F.hex(x["c"]), 8, "0")), "")), "UTF-32")

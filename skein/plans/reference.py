@@ -212,14 +212,14 @@ def source_labels(spark, d):
 
 @query
 def anchor_extract(spark, d):
-    """Contents of anchors; line breaks count as blanks here, as an anchor ends at its line."""
-    t = table(spark, d, "tactic_steps").select("ord", F.explode(text.anchors(F.translate("tactic", "\n", " "))).alias("anchor"))
+    """Contents of anchors; an anchor that isn't closed on its line is none."""
+    t = table(spark, d, "tactic_steps").select("ord", F.explode(text.anchors("tactic")).alias("anchor"))
     return t.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def anchor_clean(spark, d):
-    return table(spark, d, "tactic_steps").where("tactic like '%<%'").select("ord", text.without_anchors(F.translate("tactic", "\n", " ")).alias("tactic"))
+    return table(spark, d, "tactic_steps").select("ord", text.without_anchors("tactic").alias("tactic"))
 
 
 @query
@@ -367,9 +367,9 @@ def filtered_bridges(spark, d):
 # similarity
 
 
-def _event_codes(spark, d, k=10):
+def _event_codes(spark, d):
     p = written(base.event_sequences(spark, d).where(F.size("items") >= similarity.LEAST_STEPS))
-    return written(similarity.coded(similarity.top_proofs(p, similarity.top_clusters(p), k)))
+    return written(similarity.coded(similarity.top_proofs(p, similarity.top_clusters(p))))
 
 
 def _proof_codes(spark, d):
@@ -402,16 +402,10 @@ def top_proofs_per_cluster(spark, d):
 
 @query
 def token_edit_distance(spark, d):
-    """Distances between the ten longest sequences of each cluster of users."""
+    """Distances between the ``PER_CLUSTER`` longest sequences of each cluster of users."""
     return _distances(_event_codes(spark, d))
 
 
-@query
-def event_edit_distance_full(spark, d):
-    """The same between the ``PER_CLUSTER`` longest."""
-    return _distances(_event_codes(spark, d, similarity.PER_CLUSTER))
-
-
 @query
 def proof_edit_distance(spark, d):
     """Distances between the ``PER_CLUSTER`` longest proofs of each cluster."""
@@ -430,16 +424,10 @@ def proof_edit_baseline(spark, d):
 
 @query
 def event_edit_bridges(spark, d):
-    """Bridges between the ten longest sequences of each cluster of users."""
+    """Bridges between the ``PER_CLUSTER`` longest sequences of each cluster of users."""
     return _bridges_of_events(spark, _event_codes(spark, d))
 
 
-@query
-def event_edit_bridges_full(spark, d):
-    """The same between the ``PER_CLUSTER`` longest."""
-    return _bridges_of_events(spark, _event_codes(spark, d, similarity.PER_CLUSTER))
-
-
 @query
 def edit_bridges(spark, d):
     return similarity.edit_bridges(_proof_codes(spark, d), base.recorded_labels(spark, d)).drop("seq_a", "seq_b")
@@ -499,8 +487,10 @@ def known_bridge_verdicts(spark, d):
 
 
 def _interaction(spark, d):
-    cand, _, c, lab, _ = _candidates(spark, d)
-    return written(complexity.interaction(cand, c, lab)), lab
+    """Interaction by the bridges that the in-degree filter leaves, as in the pipeline."""
+    cand, degrees, c, lab, _ = _candidates(spark, d)
+    theta = bridges.elbow(bridges.indegree_sweep(cand, degrees)).first()[0]
+    return written(complexity.interaction(bridges.filtered(cand, theta), c, lab)), lab
 
 
 @query
@@ -583,12 +573,22 @@ def plot_purity(spark, d):
     return p.select("cid", *[r6(c).alias(c) for c in ("dominant_fraction", "norm_entropy", "marker_size")], "colour", "shown_label", "left_of_line")
 
 
+def _bars(subs: DataFrame) -> DataFrame:
+    return charts.hierarchy(written(subs)).select("top", "sub", F.col("bar").cast("long").alias("bar"), "total", r6("fraction").alias("fraction"), r6("left").alias("left"), "shown_label")
+
+
 @query
 def plot_hierarchy(spark, d):
-    """Stacked bars of the modules inside each cluster."""
+    """Stacked bars of the communities inside each cluster."""
+    return _bars(sub_cluster_labels(spark, d).select("top", "sub", "label", "size"))
+
+
+@query
+def plot_module_bars(spark, d):
+    """The same bars of the modules inside each cluster, which SQL can follow."""
     r = labels.ranked(labels.distribution(base.members(spark, d, base.steps(spark, d, "file_path", "premises")), ["cid"]), ["cid"])
     subs = r.select(F.col("cid").alias("top"), (F.col("rank") - 1).alias("sub"), F.col("module").alias("label"), F.col("cnt").alias("size"))
-    return charts.hierarchy(written(subs)).select("top", "sub", F.col("bar").cast("long").alias("bar"), "total", r6("fraction").alias("fraction"), r6("left").alias("left"), "shown_label")
+    return _bars(subs)
 
 
 @query
@@ -613,7 +613,7 @@ def bridge_theorem_report(spark, d):
 def filtered_report(spark, d):
     c, degrees, _, lab, _ = _candidates(spark, d)
     theta = bridges.elbow(bridges.indegree_sweep(c, degrees)).first()[0]
-    return reports.of_candidates(bridges.filtered(c, theta), lab)
+    return reports.of_candidates(bridges.filtered(c, theta), lab, theta)
 
 
 @query

@@ -79,8 +79,8 @@ _MT = f"{_PATS},\nmt as (select distinct bridge, side, name from cm, pats where
 _SPAN = """sd as (select bridge, count(*) filter (side = 0) n_a, count(*) filter (side = 1) n_b, coalesce(list(distinct cid) filter (side = 0), []) a, coalesce(list(distinct cid) filter (side = 1), []) b from (select distinct bridge from pats) left join (mt join cm using (name)) using (bridge) group by 1),
 sp as (select bridge, n_a, n_b, len(list_intersect(a, b)) clusters_overlap, len(list_distinct(a || b)) - len(list_intersect(a, b)) clusters_separated,
   len(list_filter(a, lambda x: not list_contains(b, x))) > 0 and len(list_filter(b, lambda x: not list_contains(a, x))) > 0 bridge_spans_clusters from sd)"""
-_W = f"""{_DC},
-xl as (select distinct theorem, cr.cid_s i, cr.cid_p j from dc join cr on cr.src = dc.theorem),
+_W = f"""{_EL},
+xl as (select distinct theorem, cr.cid_s i, cr.cid_p j from dc join cr on cr.src = dc.theorem cross join el where min_cross_indegree <= el.theta),
 on1 as (select i, j, count(*) w from xl group by 1, 2),
 w as (select i, j, sum(w)::bigint weight from (select i, j, w from on1 union all select j, i, w from on1) group by 1, 2),
 rs as (select *, weight / (sum(weight) over (partition by i))::double p from w),
@@ -101,7 +101,7 @@ _CODES = f"""{EVENTS},
 q as (select * from es where len(items) >= 5),
 tc as (select cid, count(*) n_proofs, row_number() over (order by count(*) desc, cid) cluster_rank from q group by 1 order by 2 desc, 1 limit 30),
 tp as (select q.cid, name, items, len(items) len, cluster_rank, row_number() over (partition by q.cid order by len(items) desc, name) rn,
-  array_to_string(list_transform(items[1:80], lambda x: chr(97 + list_position(['click', 'error', 'purchase', 'signup', 'view'], x)::int)), '') code from q join tc using (cid) qualify rn <= 10),
+  array_to_string(list_transform(items[1:80], lambda x: chr(97 + list_position(['click', 'error', 'purchase', 'signup', 'view'], x)::int)), '') code from q join tc using (cid) qualify rn <= 30),
 within as (select levenshtein(x.code, y.code) / greatest(x.len, y.len, 1)::double d from tp x join tp y on x.cid = y.cid and x.rn < y.rn where y.rn <= 10
   union all select 1.0 from tp group by cid having count(*) = 1),
 bl as (select quantile_cont(d, 0.5) baseline from within)"""
@@ -112,7 +112,6 @@ _HIER = f"""{ALL},
 tt as (select cid as top, sum(cnt) total from rk group by 1), bar as (select top, total, row_number() over (order by total desc, top) - 1 bar from tt order by total desc, top limit 15),
 fr as (select bar.top, rank - 1 sub, bar, bar.total::bigint total, module as label, cnt, cnt / bar.total::double fraction from rk join bar on bar.top = rk.cid)"""
 _TEXT = "from tactic_steps where tactic is not null"
-_ONE_LINE = "replace(tactic, chr(10), ' ')"
 
 SQL = {
     "corpus_last_wins": f"with {CORPUS} select * from co",
@@ -148,8 +147,8 @@ select cid, size, coalesce(t, '') top_modules from (select cid, count(*) size fr
     "mixed_pure_counts": f"with {ALL} select count(*) n_clusters, count(*) filter (is_mixed) n_mixed, (select count(*) from pure) n_pure from lab",
     "pure_clusters": f"with {ALL} select * from pure",
     "source_labels": f"with m as (select coalesce(source, '?') cid, coalesce(lang, '?') as module from documents), {_labels_of('m')} select cid, {_SHOWN} from lab",
-    "anchor_extract": f"select anchor, count(*) n from (select unnest(regexp_extract_all({_ONE_LINE}, '<a>(.*?)</a>', 1)) anchor from tactic_steps) group by 1",
-    "anchor_clean": f"select ord, trim(regexp_replace({_ONE_LINE}, '<a>(.*?)</a>', '\\1', 'g'), {quoted(WHITE)}) tactic from tactic_steps where tactic like '%<%'",
+    "anchor_extract": "select anchor, count(*) n from (select unnest(regexp_extract_all(tactic, '<a>(.*?)</a>', 1)) anchor from tactic_steps) group by 1",
+    "anchor_clean": f"select ord, trim(regexp_replace(tactic, '<a>(.*?)</a>', '\\1', 'g'), {quoted(WHITE)}) tactic from tactic_steps",
     "whitespace_collapse": f"select ord, {sql_collapsed('tactic')} as tactic {_TEXT}",
     "normalize_text": f"select tactic, {sql_normalised('tactic')} as normal from (select distinct tactic {_TEXT})",
     "tokenise": f"select ord, array_to_string({sql_tokens('tactic')}, ' ') as tokens from tactic_steps",
@@ -203,17 +202,19 @@ select bridge, case when n_a > 0 and n_b > 0 then 'yes' when n_a + n_b > 0 then
     "recorded_complexity": f"with {_RW}, {_DF} select cid, round(integration, 6) + 0.0 integration, round(integration * differentiation, 6) + 0.0 neural_complexity, total_bridge_connections from ig join df using (cid)",
     "bridge_theorem_report": f"""with {RECORDED}, {_BT}, f as (select theorem, n_premise_clusters n, l.label own, array_to_string(list_sort(list_distinct(string_split(labels, ';'))), ' · ') ls, row_number() over (order by n_premise_clusters desc, encode(theorem)) r from bt join lab l on l.cid = cid_s)
 select r::int rank, printf('%3d  ', r) || rpad(case when len(theorem) > 57 then theorem[1:54] || '...' else theorem end, 57, ' ') || printf('  %2d  ', n) || '[' || own || ']  ' || ls line from f where r <= 200""",
+    "filtered_report": f"""with {RECORDED}, {_EL}, f as (select dc.*, row_number() over (order by n_clusters desc, min_cross_indegree, encode(theorem)) r from dc cross join el where min_cross_indegree <= theta),
+k as (select r, theorem, n_clusters, min_cross_indegree, array_to_string(list_sort(list(distinct coalesce(l.label, '?'))), ' · ') labels,
+  coalesce(string_agg(dst || '(' || in_degree || ')', ', ' order by in_degree, encode(dst)) filter (in_degree <= theta), '') premises
+  from f join cr on cr.src = f.theorem cross join el left join lab l on l.cid = cr.cid_p where r <= 200 group by 1, 2, 3, 4)
+select r::int rank, printf('%3d  ', r) || rpad(case when len(theorem) > 57 then theorem[1:54] || '...' else theorem end, 57, ' ') || printf('  %2d  %3d  ', n_clusters, min_cross_indegree) || labels || '  ' || premises line from k""",
     "cluster_graph_edges": f"with {_X} select cid_a, cid_b, round(weight, 6) weight from ce",
     "plot_cluster_edges": f"""with {ALL}, {_X}, k as (select ce.* from ce where cid_a in (select cid from lab) and cid_b in (select cid from lab)), mm as (select min(weight) lo, max(weight) hi from k)
 select cid_a, cid_b, round(0.3 + 2.5 * (weight - lo) / (hi - lo + 1e-12), 6) width from k, mm""",
     "plot_cluster_nodes": f"with {ALL} select cid, round(sqrt(size) * 8, 6) node_size, {_COLOUR} colour, case when size > 300 then label end shown_label from lab",
     "plot_legend": f"select distinct string_split(label, ' + ')[1] as module, {_COLOUR} colour from cluster_labels",
     "plot_purity": f"with {ALL} select cid, round(dominant_fraction, 6) dominant_fraction, round(norm_entropy, 6) norm_entropy, round(sqrt(size) * 5, 6) marker_size, {_COLOUR} colour, case when size > 1000 then string_split(label, ' + ')[1] end shown_label, dominant_fraction < 0.4 left_of_line from lab",
-    "plot_hierarchy": f"""with {_HIER} select top, sub::int sub, bar, total, round(fraction, 6) fraction, round(coalesce(sum(fraction) over (partition by top order by cnt desc, sub rows between unbounded preceding and 1 preceding), 0), 6) as left, case when fraction > 0.08 then label end shown_label from fr""",
+    "plot_module_bars": f"""with {_HIER} select top, sub::int sub, bar, total, round(fraction, 6) fraction, round(coalesce(sum(fraction) over (partition by top order by cnt desc, sub rows between unbounded preceding and 1 preceding), 0), 6) as left, case when fraction > 0.08 then label end shown_label from fr""",
     "plot_complexity": f"with {RECORDED}, {_NC} select cid, greatest(20, 5 * total_bridge_connections) marker_size, round(neural_complexity, 6) + 0.0 neural_complexity, row_number() over (order by round(neural_complexity, 9) desc, cid) <= 20 in_bars from nc",
     "label_report": f"""with {ALL}, t as (select *, row_number() over (order by size desc, cid) r from lab) select r::int rank, printf('%3d  C%-4d %6d  %s', r, cid, size, case when len(label) > 57 then label[1:54] || '...' else label end) line from t where r <= 40""",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') start, event_type, count(*) n, round(sum(value), 3) total from events group by 1, 2",
 }
-
-#: The queries of ten sequences a cluster over the operator's thirty: the same SQL with the wider cut.
-SQL |= {f"{to}_full": SQL[name].replace("qualify rn <= 10", "qualify rn <= 30") for name, to in (("token_edit_distance", "event_edit_distance"), ("event_edit_bridges", "event_edit_bridges"))}
