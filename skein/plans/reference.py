@@ -217,6 +217,13 @@ def anchor_extract(spark, d):
     return t.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def anchor_extract_joined(spark, d):
+    """The same with line breaks as blanks, for texts whose anchors were broken over lines."""
+    t = table(spark, d, "tactic_steps").select("ord", F.explode(text.anchors(F.translate("tactic", "\n", " "))).alias("anchor"))
+    return t.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def anchor_clean(spark, d):
     return table(spark, d, "tactic_steps").select("ord", text.without_anchors("tactic").alias("tactic"))

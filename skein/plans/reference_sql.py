@@ -148,6 +148,7 @@ select cid, size, coalesce(t, '') top_modules from (select cid, count(*) size fr
     "pure_clusters": f"with {ALL} select * from pure",
     "source_labels": f"with m as (select coalesce(source, '?') cid, coalesce(lang, '?') as module from documents), {_labels_of('m')} select cid, {_SHOWN} from lab",
     "anchor_extract": "select anchor, count(*) n from (select unnest(regexp_extract_all(tactic, '<a>(.*?)</a>', 1)) anchor from tactic_steps) group by 1",
+    "anchor_extract_joined": "select anchor, count(*) n from (select unnest(regexp_extract_all(replace(tactic, chr(10), ' '), '<a>(.*?)</a>', 1)) anchor from tactic_steps) group by 1",
     "anchor_clean": f"select ord, trim(regexp_replace(tactic, '<a>(.*?)</a>', '\\1', 'g'), {quoted(WHITE)}) tactic from tactic_steps",
     "whitespace_collapse": f"select ord, {sql_collapsed('tactic')} as tactic {_TEXT}",
     "normalize_text": f"select tactic, {sql_normalised('tactic')} as normal from (select distinct tactic {_TEXT})",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import clean_name, sql_name
 from ..operators import frequency, orphans
+from ..sources.shared import written
 from ..sources.tables import table
 
 #: Shares of all elements from which a premise, and of all entries from which an in-degree, is a heavy value.
@@ -47,17 +48,16 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("key").alias("premise"), "share", F.col("value").alias("in_degree"))
 
 
-def _heavy(profile: DataFrame, rows: str, percent: float, field: str) -> DataFrame:
-    total = profile.agg(F.sum(rows)).first()[0] or 0
-    return profile.where(F.col(rows) * 100.0 >= percent * total).select(F.lit(field).alias("src_field"), F.col(profile.columns[0]).cast("string").alias("key_value"))
+def _heavy(weighted: DataFrame, percent: float, field: str) -> DataFrame:
+    per = written(weighted.groupBy("key").agg(F.sum("weight").alias("n")))
+    total = per.agg(F.sum("n")).first()[0] or 0
+    return per.where(F.col("n") * 100.0 >= percent * total).select(F.lit(field).alias("src_field"), F.col("key").cast("string").alias("key_value"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.shared import written
-
-    premises = written(p1_premises(spark, d).select("premise", "n_references", "n_steps", "n_theorems"))
-    degrees = p1_in_degrees(spark, d)
-    return _heavy(premises, "n_references", PREMISE_PERCENT, "premises").unionByName(_heavy(degrees, "n_entries", DEGREE_PERCENT, "in_degree"))
+    premises = frequency.weighted_values(references(spark, d), F.col("premise"), F.col("theorem"))
+    degrees = frequency.weighted_values(entries(spark, d), F.col("in_degree"), F.col("premise"))
+    return _heavy(premises, PREMISE_PERCENT, "premises").unionByName(_heavy(degrees, DEGREE_PERCENT, "in_degree"))
 
 
 def premise_references(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_months(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references per table and month."""
-    return p2_found(spark, d).groupBy("src_table", "month_key").agg(F.count(F.lit(1)).alias("n_orphans"))
+    return orphans.orphan_counts(premise_references(spark, d), orphans.lifetimes(table(spark, d, "corpus")))
 
 
 QUERIES = {f.__name__: f for f in (p1_premises, p1_in_degrees, p1_modes, p1_percentiles, p1_found, p2_found, p2_months)}

@@ -63,6 +63,21 @@ def test_orphans_against_brute_force(spark, limits):
     refs += refs[:40]
     found = orphans.orphans(spark.createDataFrame(refs, REFS), spark.createDataFrame(lives, LIVES), *limits)
     assert rows(found) == brute(refs, lives)
+    counts = orphans.orphan_counts(spark.createDataFrame(refs, REFS), spark.createDataFrame(lives, LIVES), *limits)
+    assert rows(counts) == sorted(((*k, n) for k, n in Counter(r[:2] for r in brute(refs, lives)).items()), key=repr)
+
+
+def test_orphans_hot_key_in_one_month(spark):
+    """A third of all references name one key, within one month and many at one time; it is declared and removed all the time."""
+    rng = random.Random(9)
+    day = lambda: datetime(2023, 5, 1) + timedelta(minutes=rng.randint(0, 40_000))
+    lives = [*{(n, s): (n, s, s + timedelta(minutes=rng.randint(0, 30))) for n, s in (("hot", day()) for _ in range(400))}.values()] + [("b", datetime(2023, 1, 1), None)]
+    noon = datetime(2023, 5, 9, 12)
+    refs = [("t", i if i % 50 else None, "hot" if i % 3 else rng.choice("bcd"), noon if i % 5 == 0 else day(), "", 1) for i in range(900)]
+    want = brute(refs, lives)
+    assert rows(orphans.orphans(spark.createDataFrame(refs, REFS), spark.createDataFrame(lives, LIVES), key_rows=100)) == want
+    counts = orphans.orphan_counts(spark.createDataFrame(refs, REFS), spark.createDataFrame(lives, LIVES), key_rows=100)
+    assert rows(counts) == sorted(((*k, n) for k, n in Counter(r[:2] for r in want).items()), key=repr)
 
 
 def test_lifetimes_last_row_holds(spark):
