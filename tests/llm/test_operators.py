@@ -153,7 +153,7 @@ def test_together_against_brute_force(spark, held):
     n = len(sets)
     want = [(a, b, k, single[a], single[b], n) for (a, b), k in both.items() if k >= 5 and k * n >= 2 * single[a] * single[b]]
     df = spark.createDataFrame(data, "items array<string>, item string").repartition(3)
-    got = cooccurrence.together(df, 5, 2.0, cuts=3, held_pairs=held)
+    got = cooccurrence.together(df, 5, 2.0, 0.0, cuts=3, held_places=held, held_pairs=held)
     assert rows(got, "item_a", "item_b", "n_ab", "n_a", "n_b", "n") == sorted(want, key=repr)
     xl = lambda v: v * math.log(v) if v > 0 else 0.0
     for r in got.collect():
@@ -162,6 +162,28 @@ def test_together_against_brute_force(spark, held):
         assert abs(llr - r["llr"]) < 1e-6 and abs(r["lift"] - k * n / (a * b)) < 1e-9
 
 
+def test_together_leaves_hopeless_items_out_before_pairing(monkeypatch):
+    import pyarrow as pa
+
+    records = pa.array([["a", "b", "hot"], ["a", "hot", "once"], ["b", "hot"], [], ["a", "b"]])
+    able = bytearray(4096)
+    for x in ("a", "b"):
+        c = cooccurrence.crc32(x.encode()) & 32767
+        able[c >> 3] |= 1 << (c & 7)
+    run = cooccurrence._stripes(["hot"], bytes(able), 15, 4, 100, 100)
+    made = [r for b in run(iter([pa.RecordBatch.from_arrays([records], names=["items"])])) for r in b.to_pylist()]
+    assert [(r["item"], r["neighbours"], r["counts"]) for r in made] == [("a", ["b"], [2])]
+
+
+def test_together_by_significance(spark):
+    data = [["a", "b"]] * 6 + [["a"]] * 30 + [["b"]] * 30 + [["c"]] * 200 + [["d", "e"]] * 9
+    df = spark.createDataFrame([(x,) for x in data], "items array<string>")
+    every = {(r["item_a"], r["item_b"]): r["llr"] for r in cooccurrence.together(df, 5, 1.0, 0.0).collect()}
+    assert set(every) == {("a", "b"), ("d", "e")}
+    least = sorted(every.values())
+    assert cooccurrence.together(df, 5, 1.0, sum(least) / 2).count() == 1
+
+
 def test_together_empty(spark):
     assert not cooccurrence.together(spark.createDataFrame([], "items array<string>")).count()
 
