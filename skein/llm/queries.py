@@ -33,9 +33,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_patterns(spark: SparkSession, d: str) -> DataFrame:
     """Frequent orders of three or four leading words with the number of proofs that hold them."""
-    word = leading_word("tactic")
-    rows = _steps(spark, d).select(clean_name("full_name").alias("name"), "step_no", "step_id", word.alias("word")).where("name is not null and word is not null")
-    blocks = subsequences.ordered_blocks(rows, F.array("word"), MAX_GAP * (max(LENGTHS) - 1))
+    rows = _steps(spark, d).select(clean_name("full_name").alias("name"), "step_no", "step_id", "tactic")
+    blocks = subsequences.ordered_blocks(rows, F.array_compact(F.array(leading_word("tactic"))), MAX_GAP * (max(LENGTHS) - 1))
     found = subsequences.frequent_subsequences(blocks.select("long", "values"), MAX_GAP, LENGTHS)
     return found.select(F.array_join("items", " > ").alias("step_pattern"), F.col("n_sequences").alias("n_proofs"), "share")
 
@@ -46,8 +45,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def proof_windows(spark: SparkSession, d: str) -> DataFrame:
     """``name, windows``: the set of runs of three tokens of each proof, as sorted 64-bit hashes, from 20 windows on."""
-    rows = _steps(spark, d).select(clean_name("full_name").alias("name"), "step_no", "step_id", tokens("tactic").alias("t")).where("name is not null and size(t) > 0")
-    blocks = subsequences.ordered_blocks(rows, F.col("t"), WINDOW - 1).where(F.size("values") >= WINDOW)
+    rows = _steps(spark, d).select(clean_name("full_name").alias("name"), "step_no", "step_id", "tactic")
+    blocks = subsequences.ordered_blocks(rows, tokens("tactic"), WINDOW - 1).where(F.size("values") >= WINDOW)
     at = lambda i, k: F.element_at("values", (i + k).cast("int"))
     runs = F.transform(F.sequence(F.lit(1), F.size("values") - (WINDOW - 1)), lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)]))
     made = blocks.select("name", "long", F.array_distinct(runs).alias("windows"))
@@ -70,15 +69,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row per proof name with at least 20 windows: its class, its group of linked classes, and its number of links."""
+    """One row per proof name with at least 20 windows: the least name of its class of equal proofs, the least name of its
+    group of linked classes, and its number of links."""
     members, pairs = _similar(spark, d)
-    sizes = written(members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")))
+    sizes = written(members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("class_name")))
     ends = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("class_id"), F.col("a").alias("other")))
-    links = ends.join(sizes.withColumnRenamed("class_id", "other"), "other").groupBy("class_id").agg(F.sum("n").alias("n_other"))
+    links = ends.join(sizes.select(F.col("class_id").alias("other"), "n"), "other").groupBy("class_id").agg(F.sum("n").alias("n_other"))
     groups = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("class_id"), F.col("component").alias("group"))
     per_class = sizes.join(links, "class_id", "left").join(groups, "class_id", "left")
-    per_class = per_class.select("class_id", F.coalesce("group", "class_id").alias("group_id"), (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"))
-    return members.join(per_class, "class_id").select("name", "class_id", "group_id", "n_links")
+    per_class = written(per_class.select("class_id", "class_name", F.coalesce("group", "class_id").alias("group"), (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links")))
+    named = per_class.groupBy("group").agg(F.min("class_name").alias("group_name"))
+    return members.join(per_class.join(named, "group"), "class_id").select("name", "class_name", "group_name", "n_links")
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -174,6 +175,13 @@ SQL = {
     "p4_patterns": f"with {_PATTERNS} select * from found",
     "p4_found": f"with {_PATTERNS} select step_pattern from found",
     "p5_found": f"with {_WINDOWS} select * from found",
+    "p5_groups": f"""with recursive {_WINDOWS},
+ends as (select name_a a, name_b b from found union all select name_b, name_a from found),
+same as (select name, md5(string_agg(w, chr(2) order by w)) class from kept group by 1),
+cc(node, root) using key (node) as (select name, name from sized union
+  select e.b, min(cc.root) from cc join ends e on e.a = cc.node join recurring.cc old on old.node = e.b where encode(cc.root) < encode(old.root) group by e.b),
+links as (select a, count(*) n from ends group by 1)
+select s.name, min(s.name) over (partition by class) class_name, root group_name, coalesce(n, 0) n_links from same s join cc on cc.node = s.name left join links on links.a = s.name""",
     "p6_pairs": f"with {_PAIRS} select *, round(n_common::double * n / (n_a::double * n_b), 9) lift, round(2 * ({_LLR}), 6) llr from found",
     "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p6_found": f"with {_PAIRS} select premise_a, premise_b from found",

@@ -11,6 +11,7 @@ weighted automaton. Automata are shuffled by pivot, in parts for a pivot that ha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,29 +21,45 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
-BLOCK, CHUNK_SEQUENCES, CHUNK_PATHS, PARTS = 1024, 50_000, 2_000_000, 64
+#: Rows in a block of a long sequence; places, and paths, that a task holds; parts of a pivot; names that may be broadcast;
+#: frequent items that are mined as automata.
+BLOCK, CHUNK_PLACES, CHUNK_PATHS, PARTS, BROADCAST_NAMES, MOST_ITEMS = 1024, 1_000_000, 2_000_000, 64, 100_000, 2048
 
 
 def ordered_blocks(rows: DataFrame, values: Column, overlap: int, block: int = BLOCK) -> DataFrame:
-    """``name, long, values``: each name's values by (step_no, step_id), in blocks of ``block`` step numbers.
-
-    ``rows`` has ``name, step_no, step_id`` and what ``values`` (an array column) needs; redelivered equal rows count
-    once, a null step_no orders first, equal step numbers order by step_id. A name with one block, as nearly all have, is
-    one row. Where a name has several, ``long`` is its name (else null) and each block is followed by the first
-    ``overlap`` values of the next ones, so every run of ``overlap + 1`` values lies in one row and no name is collected.
+    """``name, long, values``: each name's values by (step_no, step_id), in blocks of the values of ``block`` rows.
+
+    ``rows`` has ``name, step_no, step_id`` and what ``values`` (an array column) needs; rows without a name or a value are
+    left out, redelivered equal rows count once, a null step_no orders first, equal step numbers order by step_id. A name of
+    at most ``block`` rows, as nearly all are, is one row. For others, ``long`` is the name (else null), and each block is
+    followed by the first ``overlap`` values of the next ones, so every run of ``overlap + 1`` values lies in one row. Their
+    rows are numbered in ranges of (name, step_no, step_id), so no name is collected or sorted by one task, not even one whose
+    step numbers are all null or equal.
     """
-    at = F.coalesce(F.col("step_no"), F.lit(-1))
-    packed = rows.select("name", F.floor(F.greatest(at, F.lit(0)) / block).cast("int").alias("block"), F.struct(at.alias("n"), "step_id", values.alias("v")).alias("s"))
-    made = packed.groupBy("name", "block").agg(F.flatten(F.transform(F.sort_array(F.collect_set("s")), lambda s: s["v"])).alias("values"))
-    if not rows.where(F.col("step_no") >= block).limit(1).count():
-        return made.select("name", F.lit(None).cast("string").alias("long"), "values")
-    made = written(made.where(F.size("values") > 0))
+    rows = rows.where("name is not null")
+    placed = rows.select("name", F.coalesce(F.col("step_no"), F.lit(-1)).alias("n"), "step_id", values.alias("v")).where("size(v) > 0")
+
+    def joined(df: DataFrame, order: list[str], collect, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.flatten(F.transform(F.sort_array(collect(F.struct(*order, "v"))), lambda s: s["v"])).alias("values"))
+
+    tall = written(rows.groupBy("name").count().where(F.col("count") > block).select("name"))
+    n_tall = tall.count()
+    if not n_tall:
+        return joined(placed, ["n", "step_id"], F.collect_set, "name").select("name", F.lit(None).cast("string").alias("long"), "values")
+    known = F.broadcast(tall) if n_tall <= BROADCAST_NAMES else tall
+    short = joined(placed.join(known, "name", "left_anti"), ["n", "step_id"], F.collect_set, "name")
+    order = ["n", "step_id", "v"]
+    ranged = written(placed.join(known, "name", "left_semi").distinct().repartitionByRange("name", *order).withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    offsets = ranged.groupBy("name", "range").count().select("name", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    nth = F.row_number().over(Window.partitionBy("name", "range").orderBy(*order)) - 1
+    numbered = ranged.withColumn("nth", nth).join(offsets, ["name", "range"]).select("name", (F.col("nth") + F.col("offset")).alias("nth"), "v")
+    made = written(joined(numbered.withColumn("block", F.floor(F.col("nth") / block)), ["nth"], F.collect_list, "name", "block"))
     following = Window.partitionBy("name").orderBy("block").rowsBetween(1, overlap)
-    several = made.groupBy("name").count().where("count > 1").select("name", F.col("name").alias("long"))
-    heads = made.select("name", "block", F.slice("values", 1, overlap).alias("h")).join(several, "name")
-    heads = heads.select("name", "block", "long", F.slice(F.flatten(F.collect_list("h").over(following)), 1, overlap).alias("next"))
-    joined = made.join(heads, ["name", "block"], "left")
-    return joined.select("name", "long", F.concat("values", F.coalesce("next", F.array().cast("array<string>"))).alias("values"))
+    heads = made.select("name", "block", F.slice("values", 1, overlap).alias("h"))
+    heads = heads.select("name", "block", F.slice(F.flatten(F.collect_list("h").over(following)), 1, overlap).alias("next"))
+    long = made.join(heads, ["name", "block"]).select("name", F.col("name").alias("long"), F.concat("values", "next").alias("values"))
+    return short.select("name", F.lit(None).cast("string").alias("long"), "values").unionByName(long)
 
 
 def _encoded(column: pa.ListArray, items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,26 +70,40 @@ def _encoded(column: pa.ListArray, items: pa.Array) -> tuple[np.ndarray, np.ndar
     return ids, pc.list_parent_indices(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _tables(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Batches put together to tables of about so many rows."""
+def _tables(batches: Iterator[pa.RecordBatch], sizes) -> Iterator[pa.Table]:
+    """Batches put together, or cut, to tables of about ``CHUNK_PLACES`` places; ``sizes`` gives the places of each row."""
     kept, n = [], 0
     for b in batches:
-        kept.append(b)
-        n += len(b)
-        if n >= rows:
-            yield pa.Table.from_batches(kept)
-            kept, n = [], 0
+        ends = np.cumsum(sizes(b))
+        at = 0
+        while at < len(b):
+            done = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + CHUNK_PLACES - n, "right")))
+            kept.append(b.slice(at, to - at))
+            n += int(ends[to - 1]) - done
+            at = to
+            if n >= CHUNK_PLACES or at < len(b):
+                yield pa.Table.from_batches(kept)
+                kept, n = [], 0
     if kept:
         yield pa.Table.from_batches(kept)
 
 
+def _lengths(b: pa.RecordBatch) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(b.column(b.schema.get_field_index("values"))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _states(b: pa.RecordBatch) -> np.ndarray:
+    return pc.binary_length(b.column(b.schema.get_field_index("states"))).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+
+
 def _pairs(items: list[str], max_gap: int):
     """Support of each ordered pair of items within the gap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, width = pa.array(items, pa.string()), len(items) + 1
         total = np.zeros(width * width, np.int64)
-        for t in _tables(batches, CHUNK_SEQUENCES):
+        for t in _tables(batches, _lengths):
             x, s = _encoded(t.column("values"), words)
             seen = [np.empty(0, np.int64)]
             for g in range(1, max_gap + 1):
@@ -123,7 +154,7 @@ def _automata(items: list[str], allowed: np.ndarray, max_gap: int, lengths: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = pa.array(items, pa.string())
-        for t in _tables(batches, CHUNK_SEQUENCES):
+        for t in _tables(batches, _lengths):
             x, s = _encoded(t.column("values"), words)
             owner = t.column("long").combine_chunks()
             place = np.arange(len(x))
@@ -185,7 +216,7 @@ def _mine(width: int, allowed: np.ndarray, max_gap: int, lengths: tuple[int, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, int] = {}
-        for t in _tables(batches, CHUNK_SEQUENCES):
+        for t in _tables(batches, _states):
             states = t.column("states").combine_chunks()
             sizes = pc.binary_length(states).to_numpy().astype(np.int64) // 4
             flat = np.frombuffer(b"".join(states.to_pylist()), "<u2").reshape(-1, 2).astype(np.int64)
@@ -218,14 +249,32 @@ def _mine(width: int, allowed: np.ndarray, max_gap: int, lengths: tuple[int, ...
     return run
 
 
+def _by_joins(blocks: DataFrame, frequent: DataFrame, max_gap: int, lengths: tuple[int, ...], least: int, n: int) -> DataFrame:
+    """The same patterns where very many items are frequent: paths grown place by place, only those of frequent patterns."""
+    rows = written(blocks.select(F.monotonically_increasing_id().alias("seq"), "long", "values"))
+    placed = written(rows.select("seq", "long", F.posexplode("values").alias("pos", "item")).join(frequent.select("item"), "item", "left_semi"))
+    nexts = placed.select("seq", F.col("pos").alias("at"), F.col("item").alias("next"))
+    paths, found = placed.select("seq", "long", "pos", F.array("item").alias("items")), []
+    for length in range(2, max(lengths) + 1):
+        moved = paths.select("seq", "long", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + max_gap)).alias("at"), "items").join(nexts, ["seq", "at"])
+        moved = written(moved.select("seq", "long", F.col("at").alias("pos"), F.concat("items", F.array("next")).alias("items")))
+        owner = F.struct("long", F.when(F.col("long").isNull(), F.col("seq")).alias("seq"))
+        held = moved.select(owner.alias("owner"), "items").distinct().groupBy("items").agg(F.count(F.lit(1)).alias("n_sequences")).where(F.col("n_sequences") >= least)
+        held = written(held)
+        paths = moved.join(held.select("items"), "items", "left_semi")
+        found += [held] if length in lengths else []
+    every = reduce(DataFrame.unionByName, found)
+    return every.select("items", "n_sequences", (F.col("n_sequences") / F.lit(float(max(n, 1)))).alias("share"))
+
+
 def frequent_subsequences(blocks: DataFrame, max_gap: int = 5, lengths: tuple[int, ...] = (3, 4), min_count: int = 8, min_share: float = 0.025, parts: int = PARTS) -> DataFrame:
     """``items array<string>, n_sequences, share`` of the patterns that enough sequences hold.
 
     ``blocks`` comes from ``ordered_blocks`` with an overlap of ``max_gap * (max(lengths) - 1)``. A sequence holds a pattern
     if its items stand there in order, each 1 to ``max_gap`` places after the one before. Enough: ``min_count`` and
     ``min_share`` of the sequences with at least ``min(lengths)`` places. Exact: support only falls as patterns grow, so
-    blanking infrequent items and pairs loses none. The item list that goes to the driver has at most mean distinct items
-    a sequence / ``min_share`` entries. Without sequences there are no patterns.
+    blanking infrequent items and pairs loses none. Of the item list, at most mean distinct items a sequence / ``min_share``
+    long, ``MOST_ITEMS`` go to the driver; where more are frequent, paths are grown by joins. Without sequences there are no patterns.
     """
     blocks = written(blocks.where(F.size("values") > 0))
     none = blocks.select(F.col("values").alias("items"), F.lit(0).cast("long").alias("n_sequences"), F.lit(0.0).alias("share")).limit(0)
@@ -239,12 +288,12 @@ def frequent_subsequences(blocks: DataFrame, max_gap: int = 5, lengths: tuple[in
     support = short.select(F.explode(F.array_distinct("values")).alias("item"))
     if has_long:
         support = support.unionByName(tall.select("long", F.explode(F.array_distinct("values")).alias("item")).distinct().select("item"))
-    items = [r[0] for r in support.groupBy("item").count().where(F.col("count") >= least).orderBy(F.desc("count"), "item").collect()]
+    items = [r[0] for r in support.groupBy("item").count().where(F.col("count") >= least).orderBy(F.desc("count"), "item").limit(MOST_ITEMS + 1).collect()]
     if not items:
         return none
     width = len(items) + 1
-    if width ** max(lengths) >= 2**62:
-        raise ValueError(f"{len(items)} frequent items don't fit the pattern code; raise min_share")
+    if width > MOST_ITEMS or width ** max(lengths) >= 2**62:  # beyond what tables of pairs and 64-bit codes hold
+        return _by_joins(blocks, support.groupBy("item").count().where(F.col("count") >= least), max_gap, lengths, least, n)
     pairs = blocks.select("values").mapInArrow(_pairs(items, max_gap), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     allowed = np.zeros(width * width, bool)
     allowed[[r[0] for r in pairs.select("code").collect()]] = True  # at most len(items) squared

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
 
-RADIX_BITS, SPLIT_BITS, HELD_ROWS, MEMORY = 12, 4, 400_000, "256MB"
+#: Rows, and bytes of them, that a task holds before it writes them to files.
+HELD_ROWS, HELD_BYTES = 400_000, 64_000_000
+RADIX_BITS, SPLIT_BITS, MEMORY = 12, 4, "256MB"
 COUNTED = "bits int, field string, term string, hash bigint, n_occurrences bigint, n_records bigint"
 _MERGE = "select field, term, any_value(hash) hash, sum(n_occurrences)::bigint n_occurrences, sum(n_records)::bigint n_records from part group by field, term"
 
@@ -36,7 +38,7 @@ def _scratch(shared: str) -> str:
     return os.path.join("/" + base.lstrip("/") if base.startswith("/") else base, f"terms-{uuid.uuid4().hex}")
 
 
-def _count(shared: str, held: int):
+def _count(shared: str, held: int, held_bytes: int):
     """Map side: records of one task to (term, occurrences, records), merged across batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,17 +46,18 @@ def _count(shared: str, held: int):
         con = _connect(folder)
         con.execute("create table acc (field varchar, term varchar, n_occurrences bigint, n_records bigint)").fetchall()
         out = f"select (hash(term) >> {64 - RADIX_BITS})::int bits, field, term, (hash(term) // 2)::bigint hash, sum(n_occurrences)::bigint n_occurrences, sum(n_records)::bigint n_records from acc group by field, term"
-        rows = 0
+        size = 0
         try:
             for batch in batches:
                 part = pa.table({"field": batch.column(0), "terms": batch.column(1)})  # noqa: F841
                 con.execute("""insert into acc select field, term, sum(n), count(*) from (
                     select r, field, term, count(*) n from (select row_number() over () r, field, unnest(terms) term from part)
                     where term is not null group by r, field, term) group by field, term""").fetchall()
-                rows += len(batch)
-                if con.execute("select count(*) from acc").fetchall()[0][0] > held:
+                size += batch.nbytes
+                if size > held_bytes or con.execute("select count(*) from acc").fetchall()[0][0] > held:
                     yield from con.sql(out).to_arrow_table().to_batches(50_000)
                     con.execute("delete from acc").fetchall()
+                    size = 0
             yield from con.sql(out).to_arrow_table().to_batches(50_000)
         finally:
             con.close()
@@ -63,17 +66,18 @@ def _count(shared: str, held: int):
     return run
 
 
-def _radix(shared: str, held: int):
+def _radix(shared: str, held: int, held_bytes: int):
     """Reduce side: one task's rows aggregated, through files split by further bits where there are too many."""
 
     def merged(con: duckdb.DuckDBPyConnection, part: pa.Table) -> Iterator[pa.RecordBatch]:
         done = con.sql(_MERGE).to_arrow_table()
         yield from done.select(["field", "term", "n_occurrences", "n_records"]).to_batches(50_000)
 
-    def split(batches: Iterator[pa.RecordBatch], folder: str, depth: int) -> dict[int, tuple[str, int]]:
-        """Rows written to a file per value of the bits at this depth: {bits: (file, rows)}."""
+    def split(batches: Iterator[pa.RecordBatch], folder: str, depth: int) -> list[tuple[str, int, int]]:
+        """Rows written to a file per value of the bits at this depth: (file, rows, bytes) of each."""
         files: dict[int, tuple[pa.RecordBatchFileWriter, str]] = {}
         rows: dict[int, int] = {}
+        size: dict[int, int] = {}
         shift = 63 - RADIX_BITS - SPLIT_BITS * (depth + 1)
         try:
             for b in batches:
@@ -86,10 +90,11 @@ def _radix(shared: str, held: int):
                         files[k] = pa.ipc.new_file(path, t.schema), path
                     files[k][0].write_table(chosen)
                     rows[k] = rows.get(k, 0) + len(chosen)
+                    size[k] = size.get(k, 0) + chosen.nbytes
         finally:
             for w, _ in files.values():
                 w.close()
-        return {k: (path, rows[k]) for k, (_, path) in files.items()}
+        return [(path, rows[k], size[k]) for k, (_, path) in files.items()]
 
     def read(path: str) -> Iterator[pa.RecordBatch]:
         with pa.memory_map(path) as f:
@@ -98,8 +103,8 @@ def _radix(shared: str, held: int):
                 yield r.get_batch(i)
 
     def spilled(con: duckdb.DuckDBPyConnection, batches: Iterator[pa.RecordBatch], folder: str, depth: int) -> Iterator[pa.RecordBatch]:
-        for path, n in split(batches, folder, depth).values():
-            if n <= held or 63 - RADIX_BITS - SPLIT_BITS * (depth + 2) < 0:  # fits, or no bits are left: DuckDB spills
+        for path, n, size in split(batches, folder, depth):
+            if (n <= held and size <= held_bytes) or 63 - RADIX_BITS - SPLIT_BITS * (depth + 2) < 0:  # fits, or no bits are left: DuckDB spills
                 part = pa.Table.from_batches(list(read(path)))
                 yield from merged(con, part)
             else:
@@ -109,7 +114,7 @@ def _radix(shared: str, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = _scratch(shared)
         con = _connect(folder)
-        kept, n = [], 0
+        kept, n, size = [], 0, 0
 
         def all_batches() -> Iterator[pa.RecordBatch]:
             while kept:
@@ -120,7 +125,8 @@ def _radix(shared: str, held: int):
             for b in batches:
                 kept.append(b)
                 n += len(b)
-                if n > held:
+                size += b.nbytes
+                if n > held or size > held_bytes:
                     os.makedirs(folder, exist_ok=True)
                     yield from spilled(con, all_batches(), folder, 0)
                     return
@@ -134,15 +140,15 @@ def _radix(shared: str, held: int):
     return run
 
 
-def term_counts(records: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
+def term_counts(records: DataFrame, held_rows: int = HELD_ROWS, held_bytes: int = HELD_BYTES) -> DataFrame:
     """``field, term, n_occurrences, n_records`` of records ``field string, terms array<string>``, one row per record.
 
     Terms are compared exactly, the empty string is a term, null terms and null arrays are none; a null field is a field
     of its own. Further columns are ignored. An empty table gives no rows.
     """
     shared = shared_dir(records.sparkSession)
-    sent = records.select(F.col("field").cast("string"), "terms").mapInArrow(_count(shared, held_rows), COUNTED).repartition("bits")
-    return sent.mapInArrow(_radix(shared, held_rows), "field string, term string, n_occurrences bigint, n_records bigint")
+    sent = records.select(F.col("field").cast("string"), "terms").mapInArrow(_count(shared, held_rows, held_bytes), COUNTED).repartition("bits")
+    return sent.mapInArrow(_radix(shared, held_rows, held_bytes), "field string, term string, n_occurrences bigint, n_records bigint")
 
 
 def marked(counts: DataFrame, totals: dict[str, int], rare_below: int = 3, common_share: float = 0.05) -> DataFrame:
