@@ -113,9 +113,12 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Containers used, their least possible number by the sum of tokens, and the share of room that is filled."""
-    per = p8_containers(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
-    return per.agg(F.count(F.lit(1)).alias("n_containers"), F.ceil(F.sum("n") / packing.CAPACITY).alias("least_possible"), F.max("n").alias("fullest"), (F.sum("n") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("filled"))
+    """Containers used, the least number by the sum of tokens and by the program's dual, and the share of room that is filled."""
+    placed = written(p8_containers(spark, d))
+    least = packing.dual_bound({r[0]: r[1] for r in placed.groupBy("n_tokens").count().collect()})  # at most capacity rows
+    per = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    filled = F.sum("n") / (F.count(F.lit(1)) * packing.CAPACITY)
+    return per.agg(F.count(F.lit(1)).alias("n_containers"), F.ceil(F.sum("n") / packing.CAPACITY).alias("least_possible"), F.lit(least).cast("long").alias("dual_bound"), F.max("n").alias("fullest"), filled.alias("filled"))
 
 
 def p9_reasons(spark: SparkSession, d: str) -> DataFrame:

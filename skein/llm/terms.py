@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_dir
 
 #: Rows, and bytes of them, that a task holds before it writes them to files.
-HELD_ROWS, HELD_BYTES = 400_000, 64_000_000
+HELD_ROWS, HELD_BYTES = 400_000, 128_000_000
 RADIX_BITS, SPLIT_BITS, MEMORY = 12, 4, "256MB"
 COUNTED = "bits int, field string, term string, hash bigint, n_occurrences bigint, n_records bigint"
 _MERGE = "select field, term, any_value(hash) hash, sum(n_occurrences)::bigint n_occurrences, sum(n_records)::bigint n_records from part group by field, term"

@@ -284,17 +284,56 @@ def test_knapsack_against_brute_force():
     for _ in range(20):
         sizes = np.array(sorted(rng.sample(range(2, 30), 5)))
         values = np.array([rng.random() for _ in sizes])
+        limits = np.array([rng.randint(0, 9) for _ in sizes])
         best = [0.0] * 61
-        for c in range(1, 61):
-            best[c] = max([best[c - 1], *(best[c - s] + v for s, v in zip(sizes, values) if s <= c)])
-        held = packing.knapsack(sizes, values, 60)
-        assert held @ sizes <= 60 and abs(held @ values - best[60]) < 1e-9
+        for s, v, most in zip(sizes, values, limits):
+            best = [max(best[c - k * s] + k * v for k in range(min(most, c // s) + 1)) for c in range(61)]
+        held = packing.knapsack(sizes, values, 60, limits)
+        assert held @ sizes <= 60 and (held <= limits).all() and abs(held @ values - best[60]) < 1e-9
+
+
+def test_program_against_its_dual_bound():
+    """Long-tailed lengths: the program covers every length exactly, and is within 0.2 % of the bound."""
+    import numpy as np
+
+    for n in (10_000, 100_000):
+        k, c = np.unique(np.clip(np.random.default_rng(0).lognormal(5, 1, n), 1, 2048).astype(int), return_counts=True)
+        demand = dict(zip(k.tolist(), c.tolist()))
+        covered = Counter()
+        for at, many, times in packing.solve(k, c, 2048):
+            covered.update(dict(zip(k[at].tolist(), (many * times).tolist())))
+            assert times > 0 and k[at] @ many <= 2048
+        assert covered == Counter(demand)
+        used = max(first + n // held for _, _, n, first, held in packing.plan(demand))
+        bound = packing.dual_bound(demand)
+        assert -(-sum(s * d for s, d in demand.items()) // 2048) <= bound <= used <= 1.002 * bound
+
+
+def test_dual_bound_is_one():
+    rng = random.Random(6)
+    for _ in range(30):
+        items = sorted(rng.choices(range(3, 11), k=rng.randint(1, 8)))
+        best = len(items)
+
+        def pack(rest, rooms):
+            nonlocal best
+            if not rest:
+                best = min(best, len(rooms))
+            elif len(rooms) < best:
+                for i, room in enumerate(rooms):
+                    if rest[-1] <= room:
+                        pack(rest[:-1], rooms[:i] + [room - rest[-1]] + rooms[i + 1 :])
+                pack(rest[:-1], [*rooms, 10 - rest[-1]])
+
+        pack(items, [])
+        assert packing.dual_bound(dict(Counter(items)), 10) <= best <= max(f + n // h for _, _, n, f, h in packing.plan(dict(Counter(items)), 10))
+    assert packing.dual_bound({}) == 0
 
 
 @pytest.mark.parametrize("capacity, sizes", [(10, [3, 3, 3, 7, 10, 1] * 30), (100, [51] * 40 + [49] * 40 + [50] * 7), (16, [5] * 200 + [35, 32, 16, 1, 0, -2, None]), (8, [])])
 def test_packed_invariants(spark, capacity, sizes):
     items = spark.createDataFrame([(i, 1000 + i % 50, n) for i, n in enumerate(sizes)], "row long, doc_id long, n_tokens long")
-    made = packing.packed(items, capacity, rounds=60).collect()
+    made = packing.packed(items, capacity).collect()
     want = [(1000 + i % 50, f, min(capacity, n - f)) for i, n in enumerate(sizes) if n and n > 0 for f in range(0, n, capacity)]
     assert sorted((r["doc_id"], r["first_token"], r["n_tokens"]) for r in made) == sorted(want)
     room = defaultdict(int)
@@ -308,7 +347,7 @@ def test_packed_invariants(spark, capacity, sizes):
 def test_packed_buckets(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ITEMS", 10)
     items = spark.range(300).selectExpr("id as row", "id as doc_id", "1 + id % 3 as n_tokens")
-    made = packing.packed(items, 6, rounds=20)
+    made = packing.packed(items, 6)
     assert made.count() == 300 and made.select("doc_id").distinct().count() == 300
     assert made.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).where("n > 6").count() == 0
 
