@@ -1,8 +1,9 @@
 """Modularity communities: Leiden on one machine for graphs of bounded size, distributed coarsening before it for others.
 
 A graph of at most ``LOCAL_EDGES`` edges goes to one task. A larger one is first coarsened with DataFrames: nodes move in
-alternating halves to the neighbouring community with the largest gain in modularity, communities are cut to their
-connected parts, and each part becomes one node, until the graph is small enough. So every community stays connected.
+alternating halves to the neighbouring community with the largest gain in modularity, and each community becomes one node,
+until the graph is small enough. Labels are carried back level by level, and at each level nodes may move again, so a node
+that joined early can leave a community that grew otherwise. In the end communities are cut to their connected parts.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import discard, written
 from .graph import component_flags, connected_components, induced, largest_component, undirected_edges
 
-LOCAL_EDGES, ITERATIONS, SEED, MOVES, LEVELS = 2_000_000, 10, 42, 6, 12
+LOCAL_EDGES, ITERATIONS, SEED, MOVES, REFINING, LEVELS = 2_000_000, 10, 42, 6, 3, 12
+#: A node or community of more than this degree, and this share of all, is joined by broadcast: at most 1 / share rows.
+HEAVY_DEGREE, HEAVY_SHARE = 10_000, 1e-4
 
 
 def leiden(n: int, src: list[int], dst: list[int], weight: list[float], iterations: int = ITERATIONS, seed: int = SEED) -> list[int]:
@@ -171,26 +174,64 @@ def _local(pdf: pd.DataFrame, seed: int = SEED, iterations: int = ITERATIONS) ->
     return pd.DataFrame({"part": pdf["part"].iloc[0], "name": names, "community": pd.Series(found, dtype="int64")})
 
 
-def _coarsened(edges: DataFrame, moves: int) -> tuple[DataFrame, DataFrame]:
-    """One level: ``name, node`` (the part each node goes to) and the graph of the parts with weights, loops kept."""
-    both = written(edges.where("src <> dst").select("src", "dst", "weight").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
-    ends = edges.select(F.col("src").alias("name"), "weight").unionByName(edges.select(F.col("dst").alias("name"), "weight"))
-    state = written(ends.groupBy("name").agg(F.sum("weight").alias("k")).withColumn("c", F.col("name")))
-    m2 = state.agg(F.sum("k")).first()[0]
+def _spread(left: DataFrame, right: DataFrame, key: str, degree: str, least: float) -> DataFrame:
+    """``left`` joined to ``right`` (one row a key); keys of a high degree, few by their bound, don't shuffle ``left``."""
+    heavy = F.broadcast(right.where(F.col(degree) > least))
+    rest = left.join(F.broadcast(right.where(F.col(degree) > least).select(key)), key, "left_anti")
+    return left.join(heavy, key).unionByName(rest.join(right.where(F.col(degree) <= least), key))
+
+
+def _ends(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links in both directions without loops (``name, other, w``), and nodes (``name, k, m2``) with their degree and its sum over the part."""
+    links = graph.where("src <> dst")
+    both = links.select(F.col("src").alias("name"), F.col("dst").alias("other"), F.col("weight").alias("w"))
+    both = written(both.unionByName(both.select(F.col("other").alias("name"), F.col("name").alias("other"), "w")))
+    degrees = graph.select("part", F.col("src").alias("name"), "weight").unionByName(graph.select("part", F.col("dst").alias("name"), "weight"))
+    degrees = degrees.groupBy("part", "name").agg(F.sum("weight").alias("k"))
+    return both, written(degrees.join(F.broadcast(degrees.groupBy("part").agg(F.sum("k").alias("m2"))), "part"))  # a row a part
+
+
+def _moved(both: DataFrame, state: DataFrame, moves: int) -> DataFrame:
+    """``part, name, k, m2, c`` after so many half moves."""
+    most, whole = state.agg(F.max("k"), F.sum("k")).first()
+    least = max(HEAVY_DEGREE, HEAVY_SHARE * (whole or 0))
     for i in range(moves):
-        total = state.groupBy("c").agg(F.sum("k").alias("tot"))
-        links = both.join(state.select(F.col("name").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("name"), "c").agg(F.sum("weight").alias("w"))
-        mover = state.where(F.pmod(F.xxhash64("name", F.lit(i)), F.lit(2)) == 0).select("name", "k", F.col("c").alias("own"))
+        near = state.select(F.col("name").alias("other"), "c", "k")
+        placed = _spread(both, near, "other", "k", least) if (most or 0) > least else both.join(near, "other")
+        half = F.pmod(F.xxhash64("name", F.lit(i)), F.lit(2)) == 0
+        links = placed.where(half).groupBy("name", "c").agg(F.sum("w").alias("w"))
+        mover = state.where(half).select("name", "k", "m2", F.col("c").alias("own"))
         stay = mover.select("name", F.col("own").alias("c"), F.lit(0.0).alias("w"))
-        options = links.unionByName(stay).groupBy("name", "c").agg(F.sum("w").alias("w")).join(mover, "name").join(total, "c")
-        gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(m2)
+        total = state.groupBy("c").agg(F.sum("k").alias("tot"))
+        options = _spread(links.unionByName(stay).groupBy("name", "c").agg(F.sum("w").alias("w")).join(mover, "name"), total, "c", "tot", least)
+        gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / F.col("m2")
         best = options.groupBy("name").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (F.col("c") == F.col("own")).alias("stay"), "c")).alias("b"))
-        state = written(state.join(best, "name", "left").select("name", "k", F.coalesce(F.col("b.c"), F.col("c")).alias("c")))
-    inner = both.join(state.select(F.col("name").alias("src"), F.col("c").alias("ca")), "src").join(state.select(F.col("name").alias("dst"), F.col("c").alias("cb")), "dst").where("ca = cb and src < dst")
-    parts = written(connected_components(inner.select("src", "dst"), state.select("name")).select(F.col("node").alias("name"), F.col("component").alias("node")))
-    a, b = parts.select(F.col("name").alias("src"), F.col("node").alias("a")), parts.select(F.col("name").alias("dst"), F.col("node").alias("b"))
-    up = edges.join(a, "src").join(b, "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
-    return parts, written(up)
+        state, last = written(state.join(best, "name", "left").select("part", "name", "k", "m2", F.coalesce(F.col("b.c"), F.col("c")).alias("c"))), state
+        if i:
+            discard(last)
+    return state
+
+
+def _coarser(graph: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One level: links, nodes with the community ``c`` each goes to, and the graph of the communities, loops kept."""
+    both, nodes = _ends(graph)
+    state = _moved(both, nodes.withColumn("c", F.col("name")), MOVES)
+    a, b = state.select(F.col("name").alias("src"), F.col("c").alias("a")), state.select(F.col("name").alias("dst"), F.col("c").alias("b"))
+    up = graph.join(a, "src").join(b, "dst").groupBy("part", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    return both, state, written(up.agg(F.sum("weight").alias("weight")))
+
+
+def _finer(levels: list[tuple[DataFrame, DataFrame]], found: DataFrame) -> DataFrame:
+    """``name, community`` of the nodes of the first level, from those of the last: at each level, nodes may move again before
+    the labels go further down, and communities are cut to their connected parts in the end."""
+    for both, state in reversed(levels):
+        above = found.select(F.col("name").alias("c"), F.col("community").alias("up"))
+        state = _moved(both, written(state.join(above, "c").select("part", "name", "k", "m2", F.col("up").alias("c"))), REFINING)
+        found = state.select("name", F.col("c").alias("community"))
+    label = found.select(F.col("name").alias("node"), F.col("community").alias("c"))
+    inner = both.join(label.withColumnRenamed("node", "name"), "name").join(label.select(F.col("node").alias("other"), F.col("c").alias("co")), "other").where("c = co and name < other")
+    parts = connected_components(inner.select(F.col("name").alias("src"), F.col("other").alias("dst")), found.select("name"))
+    return parts.select(F.col("node").alias("name"), F.col("component").alias("community"))
 
 
 def communities(edges: DataFrame, local_edges: int = LOCAL_EDGES, seed: int = SEED, iterations: int = ITERATIONS, whole: bool = False) -> DataFrame:
@@ -201,21 +242,18 @@ def communities(edges: DataFrame, local_edges: int = LOCAL_EDGES, seed: int = SE
     graph = undirected_edges(edges)
     if not whole:
         graph = graph.join(largest_component(connected_components(edges)).select(F.col("node").alias("src")), "src", "left_semi")
-    graph = written(graph.withColumn("weight", F.lit(1.0)))
-    maps: list[DataFrame] = []
+    graph = written(graph.select(F.lit(0).alias("part"), "src", "dst", F.lit(1.0).alias("weight")))
+    levels: list[tuple[DataFrame, DataFrame]] = []
     for _ in range(LEVELS):
         n = graph.count()
         if n <= local_edges:
             break
-        parts, up = _coarsened(graph, MOVES)
-        maps.append(parts)
-        if up.count() >= n:
+        both, state, graph = _coarser(graph)
+        levels.append((both, state))
+        if graph.count() >= n:
             raise RuntimeError("communities: the graph doesn't get smaller; raise local_edges")
-        graph = up
-    found = graph.withColumn("part", F.lit(0)).select("part", "src", "dst", "weight").groupBy("part").applyInPandas(lambda pdf: _local(pdf, seed, iterations), "part int, name string, community bigint").select("name", "community")
-    for parts in reversed(maps):
-        found = parts.join(found.withColumnRenamed("name", "node"), "node").select("name", "community")
-    return numbered(written(found))
+    found = graph.groupBy("part").applyInPandas(lambda pdf: _local(pdf, seed, iterations), "part int, name string, community bigint").select("name", F.col("community").cast("string").alias("community"))
+    return numbered(written(_finer(levels, found) if levels else found))
 
 
 def numbered(found: DataFrame) -> DataFrame:
