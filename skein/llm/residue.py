@@ -4,7 +4,7 @@ Every text is cut to sentences. Those that may be residue are turned to a templa
 value, names, numbers), and aligned with all other records of the same template over the whole collection:
 
 * a slot that keeps a delimited variable name, or a request to fill it in, is residue if other records have the same
-  template, or if the same variable is left over in other records, or if the record keeps several;
+  template, or if the same variable is left over in other records;
 * other slots are induced: what stands between the same words in other records, where it varies. A record whose value there
   is a variable's name in marks of any kind, a default, a blank or nothing is residue; so is such a value that is the whole
   text, or follows a label of its own name, or stands alone in its line where the name is left over elsewhere;
@@ -32,18 +32,18 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
-#: Words that only filler has, in several languages' habits.
+#: Words of this operator, not tuned to a collection: what only filler has.
 SEEDS = frozenset("lorem ipsum dolor amet asdf qwer qwerty foo bar bla blah xxx".split())
-#: How templating languages and authors delimit a value to come; N is the variable's name.
+#: How templating languages delimit a value to come; N is the variable's name.
 DELIMITERS = [r"\{\{\s*N\s*\}\}", r"\$!?\{\s*N\s*\}", r"#\{\s*N\s*\}", r"<<\s*N\s*>>", r"<%=?\s*N\s*%>", r"\{%\s*N\s*%\}", r"@@\s*N\s*@@", r"__N__", r"%\(N\)s", r"%N%", r"\[\[\s*N\s*\]\]"]
-#: Words of a request to fill in a value, before or after its name.
+#: Words of a request to fill in a value, before or after its name.
 ASK_BEFORE = "your insert enter add bitte hier ihr ihre remplir insérer compléter votre completar insertar rellenar introducir su".split()
 ASK_AFTER = ["goes here", "here", "ergänzen", "einfügen", "eintragen", "ausfüllen", "ici", "à compléter", "à remplir", "aquí", "por completar"]
-#: What programs print for a missing value, and authors for one to come. ``None`` and ``N/A`` are answers too often.
+#: What programs print for a missing value, and authors for one to come. ``None`` and ``N/A`` are answers too often.
 DEFAULTS = frozenset("undefined null (null) nan nil tbd tba todo fixme".split())
 #: Tags that need no end.
 TAGS = frozenset("br hr img li input link meta p td th tr".split())
-#: What a notice says is needed.
+#: What a notice says is needed.
 SCRIPTS = r"(?i)\b(?:javascript|js|scripts?|skripte?n?)\b"
 
 EVIDENCE = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("key", pa.string()), ("sub", pa.string()), ("n", pa.int64()), ("m", pa.int64())])
@@ -56,7 +56,7 @@ LEAST_VALUES, ODD_SHARE, NAMED_SHARE, VALUE_WORDS, FILTER_BITS = 3, 0.5, 0.8, 8,
 def _patterns() -> dict[str, re.Pattern]:
     name = r"([A-Za-z][\w.]*(?: [\w.]+)?)"
     before, after = "|".join(ASK_BEFORE), "|".join(ASK_AFTER)
-    ask = rf"[\[(<](?:{before})\s([^\[\]()<>\n]{{1,40}}?)(?:\s(?:{after}))?[\])>]|[\[(<]([^\[\]()<>\n]{{1,30}}?)\s(?:{after})[\])>]"
+    ask = rf"[\[(<](?:{before})\s([^\[\]()<>\n]+?)(?:\s(?:{after}))?[\])>]|[\[(<]([^\[\]()<>\n]+?)\s(?:{after})[\])>]"
     return {
         "slot": re.compile("|".join(d.replace("N", name) for d in DELIMITERS) + "|(?i:" + ask + ")"),
         "plain": re.compile(r"\{\{.*\}\}|\$!?\{\s*[A-Za-z][\w.]{2,}\s*\}|<%.*%>|\{%.*%\}|@@.*@@|%[A-Z]\w{2,}%|[\[(<][^\[\]()<>]* [^\[\]()<>]*[\])>]"),
@@ -66,6 +66,7 @@ def _patterns() -> dict[str, re.Pattern]:
         "cut": re.compile(r"\n+|(?<=[.!?…])\s+"),
         "failure": re.compile(r"(?is)<(title|h1)[^>]*>(?:(?!</\1).)*?\b[45]\d\d\b|^HTTP/\d(?:\.\d)? [45]\d\d|^\{\s*\"status\":\s*[45]\d\d|^\w+\s*[45]\d\d\s*:"),
         "structure": re.compile(r"</?[A-Za-z][A-Za-z0-9]*|\"[^\"\n]*\"(?=\s*:)|^[\w-]+(?=:)|^HTTP/|^\w+(?=\s*\d{3}\s*:)", re.M),
+        "varying": re.compile(r'(?<=: )"[^"\n]*"|[^\s<>"]*\d[^\s<>"]*'),
         "word": re.compile(r"[^\W\d_]+"),
         "token": re.compile(r"[\[<{][^\[\]<>{}\n]{1,40}[\]>}]|[^\s.,;:!?]+(?:[.:][^\s.,;:!?]+)*|[.,;:!?]+"),
         "odd": re.compile(r"[\[<{]\s*(?P<n1>[A-Za-z][\w.-]{2,}(?: [\w.-]+){0,2})\s*[\]>}]|[$%](?P<n2>[A-Za-z][\w.]{2,})|(?P<blank>_{3,})"),
@@ -214,7 +215,8 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if failure:
                 page = " ".join(P["structure"].findall(m.group(0))).lower()
             else:
-                page = re.sub(r"\"id\": \"[^\"]*\"|docsrv/\S*|Content-Length: \d+", "", re.sub(r"\d+", "9", m.group(0).replace(message, "□") if message else m.group(0)))
+                # no status of failure: the words count too, but not a quoted value, nor a word with a digit in it
+                page = P["varying"].sub("9", m.group(0).replace(message, "□") if message else m.group(0)).lower()
             whole = bool(failure) and not _rest(prose, m)
             for s in P["cut"].split(message) or [""]:
                 yield "page", doc, page, _plain(s), _number(_plain(s)), int(whole)
@@ -239,14 +241,15 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             run = run + 1 if i and s == sentences[i - 1] else 1
             w = [x.lower() for x in P["word"].findall(s)]
-            if run == REPEATS and len(s) < SHORT and len(w) > 1 and not re.search(r"\d", s):
+            if run == REPEATS and (len(s) < SHORT or 2 * REPEATS * len(s) > len(text)) and len(w) > 1 and not re.search(r"\d", s):
                 yield "repeated", doc, s, None, 0, 0
             known = set(w) & SEEDS
             for x in set(w):
                 seen = words.setdefault(x, [0, 0])
                 seen[0] += 1
                 seen[1] += len(known) > 1
-            if len(w) >= LEAST_WORDS and (known or (len(w) >= 2 * LEAST_WORDS and len(set(w)) <= 0.8 * len(w))):
+            poor = len(w) >= 2 * LEAST_WORDS and len(set(w)) <= 0.8 * len(w)
+            if (known or poor) and (len(w) >= LEAST_WORDS or (len(w) == LEAST_WORDS - 1 and known == set(w))):
                 yield "filler", doc, str(i), " ".join(w), 0, 0
             plain = _plain(s)
             longest[plain] = max(run if len(w) > 1 else 1, longest.get(plain, 1))
@@ -304,7 +307,7 @@ def residue(documents: DataFrame) -> DataFrame:
         return df.groupBy(c).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(c)
 
     slots = kind("slot")
-    placeholders = slots.where("n > 1 or m = 1").select("doc_id")
+    placeholders = slots.where("m = 1").select("doc_id")
     for c in ("key", "sub"):
         placeholders = placeholders.unionByName(slots.join(recurring(slots, c), c, "left_semi").select("doc_id"))
     named = placeholders.join(slots, "doc_id").select("sub")

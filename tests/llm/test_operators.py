@@ -393,6 +393,19 @@ def test_residue_induces_slots(spark):
     assert found_in(spark, filled + left + alone + fine) == {(x, "placeholder") for x in left + alone}
 
 
+def test_residue_short_and_long_filler(spark):
+    long = "This paragraph stands here for the real one and shows nothing but how long a real one would be. "
+    filler = ["Lorem ipsum dolor.", "asdf asdf asdf", "bla bla bla", "Fold is fine. " + long * 4]
+    fine = ["foo bar", "A fold.", long + "Fold is fine.", "We prove the fold lemma by cases on the net. " * 2 + "Then it ends. " + "word " * 200]
+    assert found_in(spark, filler + fine) == {(x, "filler") for x in filler}
+
+
+def test_residue_pages_without_a_failure_recur_by_their_words(spark):
+    page = "<html><h1>Please wait</h1><p>Node %s asks for patience</p></html>"
+    same = [page % x for x in ("x1", "y27")]
+    assert found_in(spark, same + ["<html><h1>Fold</h1><p>One thing</p></html>", "<html><h1>Mesh</h1><p>Another thing</p></html>"]) == {(x, "error_page") for x in same}
+
+
 def test_residue_pages_by_structure(spark):
     amid = ["Fold is fine.\n<html><h1>503</h1><p>Request ID: %s</p></html>\nMesh is, too." % x for x in ("9fa3c7", "bb12")]
     amid += ["Fold.\nHTTP/1.1 502 Bad\nServer: %s\nX-Request-Id: %s\n\nThe upstream is gone\nMesh is fine here, and it goes on for much longer than any page would go on.\nLoom is a word, and so is spire, as all of us know by now.\n" % x for x in (("apex", "ab12cd"), ("nadir", "ff3e"))]
