@@ -93,3 +93,16 @@ def summary(found: DataFrame, clusters: DataFrame, labelled: DataFrame, names: i
     best = placed.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= names).groupBy("bridge", "side", "cid").agg(F.array_sort(F.collect_list("name")).alias("theorems"))
     per = placed.groupBy("bridge", "side", "cid").agg(F.count(F.lit(1)).alias("n_matches")).join(best, ["bridge", "side", "cid"])
     return per.join(labelled.select("cid", "label"), "cid", "left").select("bridge", "side", "cid", F.coalesce("label", F.col("cid").cast("string")).alias("label"), "n_matches", "theorems")
+
+
+def report(found: DataFrame, clusters: DataFrame, known: DataFrame, strict: DataFrame, loose: DataFrame, sample: int = 8) -> DataFrame:
+    """Per known bridge and side: its patterns, matches and the first ``sample`` of their names, and what the whole bridge spans
+    and how it was detected."""
+    sides = known.groupBy("bridge", "side").agg(F.array_sort(F.collect_set("pattern")).alias("patterns"))
+    first = Window.partitionBy("bridge", "side").orderBy("name")  # only the first few rows of a group reach its task
+    names = found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= sample).groupBy("bridge", "side").agg(F.array_sort(F.collect_list("name")).alias("sample_theorems"))
+    n = found.groupBy("bridge", "side").agg(F.count(F.lit(1)).alias("n_matches"))
+    spans = span(found, clusters, known)
+    whole = spans.join(verdicts(spans, strict, loose).select("bridge", "found", "detected"), "bridge").drop("n_a", "n_b")
+    made = sides.join(n, ["bridge", "side"], "left").join(names, ["bridge", "side"], "left").join(whole, "bridge")
+    return made.withColumn("n_matches", F.coalesce("n_matches", F.lit(0))).withColumn("sample_theorems", F.coalesce("sample_theorems", F.array().cast("array<string>")))

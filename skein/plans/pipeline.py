@@ -1,4 +1,5 @@
-"""The whole analysis in steps, each a Parquet table that a later run takes up again."""
+"""The whole analysis in steps, each a Parquet table that a later run takes up again. ``sources.formats.ingest`` makes the
+input tables from raw JSON lines; ``python -m skein`` runs all of it."""
 
 from __future__ import annotations
 
@@ -53,10 +54,33 @@ def _theta(get: Get) -> int:
     return bridges.elbow(get("indegree_sweep")).first()[0]
 
 
-def _verdicts(get: Get) -> DataFrame:
+def _matches(get: Get) -> tuple[DataFrame, DataFrame]:
     pats = validation.patterns(get("nodes").sparkSession)
-    found = validation.matches(get("clusters").select("name"), pats)
-    return validation.verdicts(validation.span(found, get("clusters"), pats), validation.detected(found, get("filtered")), validation.detected(found, get("bridge_theorems")))
+    return validation.matches(get("clusters").select("name"), pats), pats
+
+
+def _detected(get: Get) -> DataFrame:
+    """Every match among the filtered bridges and among all bridge theorems."""
+    strict, loose = (validation.detected(get("matches"), get(t)) for t in ("filtered", "bridge_theorems"))
+    return strict.withColumn("detector", F.lit("strict")).unionByName(loose.withColumn("detector", F.lit("loose")))
+
+
+def _by(get: Get, detector: str) -> DataFrame:
+    return get("detected").where(F.col("detector") == detector)
+
+
+def _verdicts(get: Get) -> DataFrame:
+    spans = validation.span(get("matches"), get("clusters"), _matches(get)[1])
+    return validation.verdicts(spans, _by(get, "strict"), _by(get, "loose"))
+
+
+def _validation(get: Get) -> DataFrame:
+    return validation.report(get("matches"), get("clusters"), _matches(get)[1], _by(get, "strict"), _by(get, "loose"))
+
+
+def _chart_edges(get: Get) -> DataFrame:
+    shared = get("bridges").select(F.struct("n", "gram").alias("bridge_id"), "bridge_score", F.transform("cluster_counts", lambda x: x["cid"]).alias("cids"))
+    return charts.edge_widths(charts.cluster_edges(shared), get("labels"))
 
 
 #: Steps in order: name and how it is made of earlier ones.
@@ -76,12 +100,17 @@ STEPS: dict[str, Callable[[SparkSession, str, Get], DataFrame]] = {
     "candidates": lambda spark, d, get: bridges.depth_candidates(get("edges"), get("clusters"), _pure(get), get("degrees")),
     "indegree_sweep": lambda spark, d, get: bridges.indegree_sweep(get("candidates"), get("degrees")),
     "filtered": lambda spark, d, get: bridges.filtered(get("candidates"), _theta(get)),
+    "matches": lambda spark, d, get: _matches(get)[0],
+    "detected": lambda spark, d, get: _detected(get),
+    "validation": lambda spark, d, get: _validation(get),
+    "validation_clusters": lambda spark, d, get: validation.summary(get("matches"), get("clusters"), get("labels")),
     "verdicts": lambda spark, d, get: _verdicts(get),
     "codes": lambda spark, d, get: _codes(get),
     "edit_bridges": lambda spark, d, get: similarity.edit_bridges(get("codes"), get("labels")),
     "interaction": lambda spark, d, get: complexity.interaction(get("filtered"), get("clusters"), get("labels")),
     "complexity": lambda spark, d, get: complexity.complexity(get("interaction"), get("labels")),
     "global_complexity": lambda spark, d, get: complexity.global_complexity(get("interaction"), get("labels")),
+    "chart_edges": lambda spark, d, get: _chart_edges(get),
     "chart_nodes": lambda spark, d, get: charts.cluster_nodes(get("labels")),
     "chart_purity": lambda spark, d, get: charts.purity(get("labels")),
     "chart_hierarchy": lambda spark, d, get: charts.hierarchy(get("sub_labels").select("top", "sub", "label", "size")),
@@ -123,9 +152,13 @@ def export(spark: SparkSession, out: str, to: str) -> None:
     write_json(at("edit_bridges").drop("seq_a", "seq_b"), f"{to}/edit_bridges", [F.col("norm_edit_dist"), F.col("cluster_a"), F.col("cluster_b")], 200)
     write_json(at("sweep"), f"{to}/ngram_sweep", [F.col("n")], 8)
     write_json(at("complexity"), f"{to}/complexity", [F.col("cid")], 100_000)
+    write_json(at("global_complexity"), f"{to}/global_complexity", [F.col("global_cn")], 1)
+    write_json(at("validation"), f"{to}/validation", [F.col("bridge"), F.col("side")], 1000)
+    write_json(at("validation_clusters"), f"{to}/validation_clusters")
+    write_json(at("detected"), f"{to}/validation_detected")
     made = {
         "label_report": reports.of_labels(at("labels")), "bridge_report": reports.of_bridges(at("bridges")), "bridge_theorem_report": reports.of_theorems(at("bridge_theorems")),
-        "edit_bridge_report": reports.of_edit_bridges(at("edit_bridges")), "filtered_report": reports.of_candidates(filtered, at("labels")),
+        "edit_bridge_report": reports.of_edit_bridges(at("edit_bridges")), "filtered_report": reports.of_candidates(filtered, at("labels"), theta),
         "complexity_report": reports.of_complexity(at("complexity")), "validation_report": reports.of_verdicts(at("verdicts")),
     }
     for name, lines in made.items():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -28,11 +28,38 @@ def step_rows(splits: dict[str, DataFrame]) -> DataFrame:
     def one(split: str, raw: DataFrame) -> DataFrame:
         have = set(raw.columns)
         field = lambda c: F.coalesce(F.col(c), F.lit("")) if c in have else F.lit("")
-        return raw.select(field("full_name").alias("full_name"), field("file_path").alias("file_path"), without_anchors(field("tactic")).alias("tactic"), anchors(field("tactic")).alias("premises"), F.lit(split).alias("split"))
+        kept = ["ord"] if "ord" in have else []
+        return raw.select(*kept, field("full_name").alias("full_name"), field("file_path").alias("file_path"), without_anchors(field("tactic")).alias("tactic"), anchors(field("tactic")).alias("premises"), F.lit(split).alias("split"))
 
     return reduce(lambda a, b: a.unionByName(b), [one(s, r) for s, r in splits.items()])
 
 
+def numbered(ordered: DataFrame, first: int = 0) -> DataFrame:
+    """``ordered`` with ``ord`` as one number that rises with it: the place of the file's block among all, and the row's place
+    there. ``first`` numbers a collection that comes after others."""
+    blocks = ordered.select("ord.file", "ord.block").distinct()  # a row for each task that reads
+    rank = blocks.select(F.struct("file", "block").alias("_b"), F.row_number().over(Window.orderBy("file", "block")).alias("_n"))
+    made = ordered.withColumn("_b", F.struct("ord.file", "ord.block")).join(F.broadcast(rank), "_b")
+    row = F.col("ord.row").bitwiseAND((1 << 33) - 1)
+    return made.withColumn("ord", F.lit(first << 56) + F.shiftleft(F.col("_n").cast("long"), 33) + row).drop("_b", "_n")
+
+
+def ingest(spark: SparkSession, corpus: str | list[str], steps: dict[str, str | list[str]], folder: str) -> None:
+    """Raw JSON lines to the tables ``corpus`` and ``tactic_steps`` of ``folder``, which queries and the pipeline read.
+
+    ``corpus`` has files with their declarations, ``steps`` the tactics of each split by its name; splits are put together in
+    the order given. The order of a table is that of splits, files and lines: a later declaration of a name holds, and a
+    proof's steps stand as they came (``step_no`` is null, ``step_id`` decides). Missing fields and files without rows give none.
+    """
+    declared = numbered(with_order(read_json(spark, corpus, schemas.RAW_CORPUS)))
+    each = declared.select("ord", F.col("path").alias("file_path"), F.posexplode("premises").alias("pos", "p"))
+    rows = each.select(F.struct("ord", "pos").alias("ord"), F.col("p.full_name").alias("full_name"), F.coalesce("p.kind", F.lit("")).alias("kind"), "file_path")
+    rows.write.mode("overwrite").parquet(f"{folder}/corpus.parquet")
+    raw = {name: numbered(with_order(read_json(spark, path, schemas.RAW_STEPS)), i) for i, (name, path) in enumerate(steps.items())}
+    made = step_rows(raw).select("ord", F.col("ord").alias("step_id"), "full_name", "file_path", F.lit(None).cast("int").alias("step_no"), "tactic", "premises", "split")
+    made.write.mode("overwrite").parquet(f"{folder}/tactic_steps.parquet")
+
+
 def read_json(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """JSON lines with a given schema, so no pass over the data to infer one."""
     return spark.read.schema(schema).json(path)

@@ -223,7 +223,52 @@ def test_pipeline_resumes(spark, tmp_path):
     every = pipeline.run(spark, d, out)
     assert (tmp_path / "run/clusters/_SUCCESS").stat().st_mtime_ns == stamp and set(every) == set(pipeline.STEPS)
     pipeline.export(spark, out, str(tmp_path / "to"))
-    assert (tmp_path / "to/ngram_sweep/_SUCCESS").exists()
+    assert (tmp_path / "to/ngram_sweep/_SUCCESS").exists() and (tmp_path / "to/validation_clusters/_SUCCESS").exists()
+    validation = spark.read.json(str(tmp_path / "to/validation"))
+    assert validation.count() == 16 and {"bridge", "side", "n_matches", "sample_theorems", "clusters_overlap", "detected"} <= set(validation.columns)
+    assert "global_cn" in spark.read.json(str(tmp_path / "to/global_complexity")).columns
+
+
+def test_ingest_from_raw_lines(spark, tmp_path):
+    """Two splits and two corpus files by the command line; a later declaration holds, steps stand in the order of lines."""
+    import json
+
+    from skein.__main__ import main
+    from skein.plans import base
+
+    def lines(name, records):
+        (tmp_path / name).write_text("".join(json.dumps(r) + "\n" for r in records))
+        return str(tmp_path / name)
+
+    a = lines("a.jsonl", [{"path": "Mathlib/A/X.lean", "premises": [{"full_name": "p", "kind": "def"}, {"full_name": "p", "kind": "lemma"}]}, {"path": "Mathlib/B/Y.lean", "premises": []}])
+    b = lines("b.jsonl", [{"path": "Mathlib/B/Z.lean", "premises": [{"full_name": "q", "kind": None}, {"full_name": "p", "kind": "thm"}]}])
+    train = lines("train.jsonl", [{"full_name": "t", "file_path": "Mathlib/C/T.lean", "tactic": f"rw [<a>p</a>, h{i}]"} for i in range(40)])
+    test = lines("test.jsonl", [{"full_name": "t", "file_path": "", "tactic": "exact <a>q</a>"}, {"full_name": "u"}])
+    d = str(tmp_path / "tables")
+    main(["ingest", "--corpus", a, b, "--split", f"train={train}", "--split", f"test={test}", "--to", d], spark)
+    assert rows(base.corpus(spark, d)) == [("p", "thm", "Mathlib/B/Z.lean"), ("q", "", "Mathlib/B/Z.lean")]
+    proofs = {r["name"]: r["tactics"] for r in base.proofs(base.steps(spark, d)).collect()}
+    assert proofs == {"t": [f"rw [p, h{i}]" for i in range(40)] + ["exact q"], "u": []}
+    main(["run", "--tables", d, "--out", str(tmp_path / "run"), "--step", "edges", "--step", "nodes"], spark)
+    assert rows(spark.read.parquet(str(tmp_path / "run/edges"))) == [("t", "p"), ("t", "q")]
+    assert {r["name"] for r in spark.read.parquet(str(tmp_path / "run/nodes")).collect()} == {"p", "q", "t", "u"}
+
+
+def test_complexity_query_equals_the_pipelines_table(spark, tmp_path):
+    """The query's interactions are those of the filtered bridges, as the pipeline's step makes them of the same inputs."""
+    from conftest import DATA
+
+    from skein.operators import bridges, complexity
+    from skein.plans import reference
+
+    if not (DATA / "sf0.001").exists():
+        pytest.skip("no test tables")
+    d = str(DATA / "sf0.001")
+    cand, degrees, c, lab, _ = reference._candidates(spark, d)
+    theta = bridges.elbow(bridges.indegree_sweep(cand, degrees)).first()[0]
+    kept = bridges.filtered(cand, theta)
+    assert 0 < kept.count() < cand.count()
+    assert rows(reference.interaction_matrix(spark, d)) == rows(complexity.interaction(kept, c, lab))
 
 
 def test_stream_equals_batch(spark, tmp_path):
