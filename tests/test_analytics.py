@@ -8,7 +8,7 @@ from conftest import DATA, rows
 from pyspark.sql import functions as F
 
 from skein.operators import bridges, charts, complexity, labels, ngrams, reports, similarity, validation
-from skein.plans import reference
+from skein.plans import base, reference
 
 
 def members(spark, counts):
@@ -134,11 +134,13 @@ def test_edit_bridges_against_brute_force(spark):
 
 def test_edit_queries_take_all_of_a_cluster(spark):
     d, k = str(DATA / "sf0.01"), similarity.PER_CLUSTER
-    for query, known in ((reference.proof_edit_distance, reference._proof_codes(spark, d)), (reference.event_edit_distance_full, reference._event_codes(spark, d, k))):
+    for query, known in ((reference.proof_edit_distance, reference._proof_codes(spark, d)), (reference.token_edit_distance, reference._event_codes(spark, d))):
         sizes = {r["cid"]: r["count"] for r in known.groupBy("cid").count().collect()}
         pairs = {r["cid"]: r["count"] for r in query(spark, d).groupBy("cid").count().collect()}
         assert 10 < max(sizes.values()) <= k and pairs == {c: n * (n - 1) // 2 for c, n in sizes.items() if n > 1}
-    ten, full = ({(r["cluster_a"], r["cluster_b"]): r["norm_edit_dist"] for r in q(spark, d).collect()} for q in (reference.event_edit_bridges, reference.event_edit_bridges_full))
+    p = base.event_sequences(spark, d).where(F.size("items") >= similarity.LEAST_STEPS)
+    cut = similarity.coded(similarity.top_proofs(p, similarity.top_clusters(p), 10))
+    ten, full = ({(r["cluster_a"], r["cluster_b"]): r["norm_edit_dist"] for r in df.collect()} for df in (reference._bridges_of_events(spark, cut), reference.event_edit_bridges(spark, d)))
     assert all(full[p] <= e for p, e in ten.items()) and any(full[p] < e for p, e in ten.items())
     assert 0 < reference.proof_edit_baseline(spark, d).first()[0] <= 1
 
