@@ -22,51 +22,78 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: A pair of similarity 0.7 meets in a group with 0.652, so it is missed by all 18 once in 170 million; closer pairs far less.
 GROUPS, POINTS, DIMENSION, PRIME, SEED = 18, 4, 3, 2**31 - 1, 20240607
-#: Ids in a block of a hot anchor.
-BLOCK_IDS = 512
+#: Ids in a block of a hot anchor, and windows from which on a set is held in rows.
+BLOCK_IDS, TALL = 512, 20_000
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class_id, windows) to (anchor, class_id), one row for each anchor of each group."""
+def _minhashes(w: pa.ListArray) -> np.ndarray:
+    """Values of ``GROUPS * POINTS`` minhash functions (rows) over each list; no list is empty."""
     rng = np.random.default_rng(SEED)
     n = GROUPS * POINTS
     mult = rng.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 2**63, n, dtype=np.uint64)
+    flat = w.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(w).to_numpy(zero_copy_only=False))[:-1]]).astype(np.int64)
+    least = np.empty((n, len(w)), np.uint64)
+    for i in range(n):
+        h = flat * mult[i] + add[i]
+        h ^= h >> np.uint64(32)
+        least[i] = np.minimum.reduceat(h * np.uint64(0x9E3779B97F4A7C15), starts) >> np.uint64(20)
+    return least
+
+
+def _anchors(least: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    """(anchor, class_id) of every anchor of each group within the covering radius."""
     p = np.uint64(PRIME)
+    values = least % p
     inverse = lambda v: pow(int(v) % PRIME, -1, PRIME)
+    for g in range(GROUPS):
+        y = values[g * POINTS : (g + 1) * POINTS]
+        for chosen in combinations(range(POINTS), DIMENSION):
+            # coefficients of the polynomial through the chosen places, by Lagrange's basis
+            coefficients = [np.zeros(len(ids), np.uint64) for _ in range(DIMENSION)]
+            for i in chosen:
+                basis, scale = [1], 1
+                for j in chosen:
+                    if j != i:
+                        basis = [(basis[k - 1] if k else 0) - j * (basis[k] if k < len(basis) else 0) for k in range(len(basis) + 1)]
+                        scale = scale * (i - j)
+                for k in range(DIMENSION):
+                    factor = np.uint64(basis[k] * inverse(scale) % PRIME)
+                    coefficients[k] = (coefficients[k] + y[i] * factor % p) % p
+            code = np.full(len(ids), g + 1, np.uint64)
+            for c in coefficients:
+                code = (code ^ c) * np.uint64(0xFF51AFD7ED558CCD)
+                code ^= code >> np.uint64(29)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), ids], names=["anchor", "class_id"])
+
+
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class_id, windows) to (anchor, class_id)."""
     for b in batches:
-        if not len(b):
-            continue
-        w = b.column(1)
-        flat = w.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(w).to_numpy(zero_copy_only=False))[:-1]]).astype(np.int64)
-        values = np.empty((n, len(b)), np.uint64)
-        for i in range(n):
-            h = flat * mult[i] + add[i]
-            h ^= h >> np.uint64(32)
-            values[i] = (np.minimum.reduceat(h * np.uint64(0x9E3779B97F4A7C15), starts) >> np.uint64(20)) % p
-        ids = b.column(0)
-        for g in range(GROUPS):
-            y = values[g * POINTS : (g + 1) * POINTS]
-            for chosen in combinations(range(POINTS), DIMENSION):
-                # coefficients of the polynomial through the chosen places, by Lagrange's basis
-                coefficients = [np.zeros(len(b), np.uint64) for _ in range(DIMENSION)]
-                for i in chosen:
-                    basis, scale = [1], 1
-                    for j in chosen:
-                        if j != i:
-                            basis = [(basis[k - 1] if k else 0) - j * (basis[k] if k < len(basis) else 0) for k in range(len(basis) + 1)]
-                            scale = scale * (i - j)
-                    for k in range(DIMENSION):
-                        factor = np.uint64(basis[k] * inverse(scale) % PRIME)
-                        coefficients[k] = (coefficients[k] + y[i] * factor % p) % p
-                code = np.full(len(b), g + 1, np.uint64)
-                for c in coefficients:
-                    code = (code ^ c) * np.uint64(0xFF51AFD7ED558CCD)
-                    code ^= code >> np.uint64(29)
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), ids], names=["anchor", "class_id"])
+        if len(b):
+            yield from _anchors(_minhashes(b.column(1)), b.column(0))
+
+
+def _partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class_id, part of the windows) to (class_id, minhash values of the part)."""
+    for b in batches:
+        if len(b):
+            least = _minhashes(b.column(1)).T.astype(np.int64)
+            offsets = pa.array(np.arange(len(b) + 1) * least.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(least.ravel()))], names=["class_id", "least"])
+
+
+def _anchored_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class_id, minhash values of the whole set) to (anchor, class_id)."""
+    for b in batches:
+        if len(b):
+            values = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), GROUPS * POINTS)
+            yield from _anchors(values.T.astype(np.uint64), b.column(0))
 
 
 def _meetings(block: int):
@@ -124,18 +151,57 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("name", "class_id"), keyed.groupBy("class_id").agg(F.first("windows").alias("windows"))
 
 
-def similar_classes(one: DataFrame, similarity: float, block: int = BLOCK_IDS) -> DataFrame:
-    """``a, b, shared, united`` (class ids, a < b) of the classes whose sets have at least that Jaccard similarity."""
-    anchors = one.select("class_id", "windows").mapInArrow(_anchored, "anchor bigint, class_id bigint").repartition("anchor").sortWithinPartitions("anchor")
-    met = anchors.mapInArrow(_meetings(block), "left array<bigint>, right array<bigint>")
+def tall_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of sets too large for a row, ``name, window`` (distinct): membership, and ``class_id, n, window``."""
+    bits = [F.bit_xor(F.xxhash64("window", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    keyed = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), *bits).select("name", F.xxhash64("n", "x1", "x2").alias("class_id"), "n")
+    one = keyed.groupBy("class_id").agg(F.min("name").alias("name"), F.first("n").alias("n"))
+    return keyed.select("name", "class_id"), rows.join(one, "name").select("class_id", "n", "window")
+
+
+def _tall_anchors(tall: DataFrame, part: int) -> DataFrame:
+    """Anchors of sets given in rows: minhash values of parts of at most some ``part`` windows, then the least of them."""
+    parts = tall.groupBy("class_id", F.pmod("window", F.ceil(F.col("n") / part)).alias("part")).agg(F.collect_list("window").alias("windows"))
+    least = parts.select("class_id", "windows").mapInArrow(_partly, "class_id bigint, least array<bigint>")
+    each = least.select("class_id", F.posexplode("least").alias("pos", "v")).groupBy("class_id", "pos").agg(F.min("v").alias("v"))
+    whole = each.groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("least"))
+    return whole.mapInArrow(_anchored_values, "anchor bigint, class_id bigint")
+
+
+def _shared_by_rows(pairs: DataFrame, one: DataFrame, tall: DataFrame, buckets: int = 64) -> DataFrame:
+    """``a, b, na, nb, shared`` of the pairs with a set in rows, joined by class and bucket of the window."""
+    large = written(tall.select(F.col("class_id").alias("large")).distinct())
+    some = written(pairs.join(large, F.col("a") == F.col("large"), "left_semi").unionByName(pairs.join(large, F.col("b") == F.col("large"), "left_semi")).distinct())
+    ends = some.select(F.col("a").alias("class_id")).unionByName(some.select(F.col("b").alias("class_id"))).distinct()
+    short = one.join(ends, "class_id", "left_semi").select("class_id", F.size("windows").cast("long").alias("n"), F.explode("windows").alias("window"))
+    every = written(short.unionByName(tall.join(ends, "class_id", "left_semi")).withColumn("bucket", F.pmod("window", F.lit(buckets))))
+    x = every.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "window", "bucket")
+    y = every.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "window", "bucket")
+    spread = some.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    return spread.join(x, ["a", "bucket"]).join(y, ["b", "window", "bucket"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def similar_classes(one: DataFrame, similarity: float, tall: DataFrame | None = None, block: int = BLOCK_IDS, part: int = TALL) -> DataFrame:
+    """``a, b, shared, united`` (class ids, a < b) of the classes whose sets have at least that Jaccard similarity.
+
+    ``one`` has ``class_id, windows``; ``tall`` the classes whose sets are given in rows, from ``tall_classes``.
+    """
+    anchors = one.select("class_id", "windows").mapInArrow(_anchored, "anchor bigint, class_id bigint")
+    if tall is not None:
+        anchors = anchors.unionByName(_tall_anchors(tall, part))
+    met = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_meetings(block), "left array<bigint>, right array<bigint>")
     met = met.repartition(F.xxhash64("left", "right"))  # the blocks of a hot anchor leave its task before they are paired
     pairs = met.select(F.explode("left").alias("x"), "right").select("x", F.explode("right").alias("y")).where("x <> y")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    if tall is not None:
+        pairs = written(pairs)
     x = one.select(F.col("class_id").alias("a"), F.col("windows").alias("wa"))
     y = one.select(F.col("class_id").alias("b"), F.col("windows").alias("wb"))
-    sized = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("wa").alias("na"), F.size("wb").alias("nb"), F.size(F.array_intersect("wa", "wb")).alias("shared"))
+    sized = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("wa").cast("long").alias("na"), F.size("wb").cast("long").alias("nb"), F.size(F.array_intersect("wa", "wb")).cast("long").alias("shared"))
+    if tall is not None:
+        sized = sized.unionByName(_shared_by_rows(pairs, one, tall))
     united = F.col("na") + F.col("nb") - F.col("shared")
-    return sized.select("a", "b", "shared", united.alias("united")).where(F.col("shared") * 1_000_000 >= F.lit(round(similarity * 1_000_000)) * united.cast("long"))
+    return sized.select("a", "b", "shared", united.alias("united")).where(F.col("shared") * 1_000_000 >= F.lit(round(similarity * 1_000_000)) * united)
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -43,24 +43,35 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_patterns(spark, d).select("step_pattern")
 
 
-def proof_windows(spark: SparkSession, d: str) -> DataFrame:
-    """``name, windows``: the set of runs of three tokens of each proof, as sorted 64-bit hashes, from 20 windows on."""
+def proof_windows(spark: SparkSession, d: str, tall: int = neardup.TALL) -> tuple[DataFrame, DataFrame | None]:
+    """The set of runs of three tokens of each proof, as 64-bit hashes, from 20 windows on: ``name, windows`` (sorted), and
+    ``name, window`` of proofs of more than ``tall`` windows, None if there are none."""
     rows = _steps(spark, d).select(clean_name("full_name").alias("name"), "step_no", "step_id", "tactic")
     blocks = subsequences.ordered_blocks(rows, tokens("tactic"), WINDOW - 1).where(F.size("values") >= WINDOW)
     at = lambda i, k: F.element_at("values", (i + k).cast("int"))
     runs = F.transform(F.sequence(F.lit(1), F.size("values") - (WINDOW - 1)), lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)]))
-    made = blocks.select("name", "long", F.array_distinct(runs).alias("windows"))
-    whole = made.where("long is null").select("name", "windows")
-    tall = made.where("long is not null")
-    if tall.limit(1).count():
-        whole = whole.unionByName(tall.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list("windows"))).alias("windows")))
-    return whole.where(F.size("windows") >= LEAST_WINDOWS).select("name", F.array_sort("windows").alias("windows"))
-
-
-def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    members, one = neardup.classes(written(proof_windows(spark, d)))
+    made = written(blocks.select("name", "long", F.array_distinct(runs).alias("windows")))
+    is_one = F.col("long").isNull() & (F.size("windows") <= tall)
+    whole = made.where(is_one).select("name", "windows")
+    over = made.where(~is_one)
+    each = None
+    if over.limit(1).count():
+        each = written(over.select("name", F.explode("windows").alias("window")).distinct())
+        large = each.groupBy("name").count().where(F.col("count") > tall).select("name")
+        small = each.join(large, "name", "left_anti").groupBy("name").agg(F.collect_list("window").alias("windows"))
+        whole, each = whole.unionByName(small), written(each.join(large, "name", "left_semi"))
+        each = each if each.limit(1).count() else None
+    return whole.where(F.size("windows") >= LEAST_WINDOWS).select("name", F.array_sort("windows").alias("windows")), each
+
+
+def _similar(spark: SparkSession, d: str, tall: int = neardup.TALL) -> tuple[DataFrame, DataFrame]:
+    sets, each = proof_windows(spark, d, tall)
+    members, one = neardup.classes(sets)
     one = written(one)
-    return members, written(neardup.similar_classes(one, SIMILARITY))
+    if each is None:
+        return members, written(neardup.similar_classes(one, SIMILARITY))
+    more, rows = neardup.tall_classes(each)
+    return members.unionByName(more), written(neardup.similar_classes(one, SIMILARITY, written(rows), part=tall))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -167,11 +167,36 @@ def test_similar_empty(spark):
     assert not neardup.expand(neardup.similar_classes(one, 0.7), members).count()
 
 
+@pytest.mark.parametrize("tall", [30, 45])
+def test_similar_sets_held_in_rows(spark, tmp_path, tall):
+    """Sets of more than so many windows are never put in one row; links among them, and across the bound, come out all the same."""
+    rng = random.Random(17)
+    data, at = [], 0
+    for i in range(14):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(25, 60))]
+        for name in [f"n{i:02}", f"n{i:02}copy", f"n{i:02}edit", f"n{i:02}far"]:
+            words = base[:]
+            if name.endswith("edit"):
+                words = [*base, *(f"v{at}{j}" for j in range(rng.randint(1, 8)))]
+            if name.endswith("far"):
+                words = [f"x{at}{j}" if j % step == 0 else w for step in [rng.randint(8, 40)] for j, w in enumerate(base)]
+            at += 1
+            data += [(1000 * at + j, 1000 * at + j, name, j, w) for j, w in enumerate(words)]
+    spark.createDataFrame(data, "ord long, step_id long, full_name string, step_no int, tactic string").write.parquet(f"{tmp_path}/tactic_steps.parquet")
+    d = str(tmp_path)
+    assert queries.proof_windows(spark, d)[1] is None and queries.proof_windows(spark, d, tall)[1].count() > 0
+    got = []
+    for bound in (neardup.TALL, tall):
+        members, pairs = queries._similar(spark, d, bound)
+        got.append(rows(neardup.expand(pairs, members)))
+    assert got[0] == got[1] and len(got[0]) > 20
+
+
 def test_windows_cross_steps_and_blocks(spark, tmp_path):
     data = [(i, i, " p" if i % 2 else "_root_.p", i // 2 if i < 40 else 1024 + i, f"t{i} u{i}") for i in range(60)] + [(99, 99, None, 0, "a b c"), (98, 98, "q", None, None)]
     df = spark.createDataFrame(data, "ord long, step_id long, full_name string, step_no int, tactic string")
     df.unionByName(df.limit(5)).write.parquet(f"{tmp_path}/tactic_steps.parquet")
-    made = queries.proof_windows(spark, str(tmp_path)).collect()
+    made = queries.proof_windows(spark, str(tmp_path))[0].collect()
     assert [(r["name"], len(r["windows"])) for r in made] == [("p", 118)]
 
 
