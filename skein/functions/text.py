@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 from .names import WHITE, tokens
 
 #: Words of the tactic language, never abstracted.
-KEYWORDS = sorted(set("""
-simp ring linarith omega norm_num norm_cast push_cast decide trivial tauto aesop positivity gcongr polyrith constructor rfl
-exact apply rw rewrite simp_rw intro intros rintro ext ext1 ext2 funext congr convert use left right cases rcases obtain
-induction by_cases by_contra contrapose exfalso contradiction assumption split_ifs split subst clear have suffices show
-change refine dsimp simp_all ring_nf field_simp revert generalize specialize replace fin_cases interval_cases mod_cast
-classical haveI letI inferI infer_instance this fun swap abel group linear_combination with at only using all_goals
-any_goals first try repeat iterate push_neg contrapose! by_contra! and or not cases' induction' assumption' simp_all_arith
-rotate_left rotate_right substs norm_fin norm_int pull_neg module_cast simp? exact? apply? rw? tfae_have tfae_finish calc
-conv conv_lhs conv_rhs ring1 set
-""".split()))
+KEYWORDS = sorted({
+    "simp", "ring", "linarith", "omega", "norm_num", "norm_cast", "push_cast", "decide", "trivial", "tauto", "aesop", "positivity", "gcongr",
+    "polyrith", "constructor", "rfl", "exact", "apply", "rw", "rewrite", "simp_rw", "intro", "intros", "rintro", "ext", "ext1", "ext2", "funext",
+    "congr", "convert", "use", "left", "right", "cases", "rcases", "obtain", "induction", "by_cases", "by_contra", "contrapose", "exfalso",
+    "contradiction", "assumption", "split_ifs", "split", "subst", "clear", "have", "suffices", "show", "change", "refine", "dsimp", "simp_all",
+    "ring_nf", "field_simp", "revert", "generalize", "specialize", "replace", "fin_cases", "interval_cases", "mod_cast", "classical", "haveI", "letI",
+    "inferI", "infer_instance", "this", "fun", "swap", "abel", "group", "linear_combination", "with", "at", "only", "using", "all_goals", "any_goals",
+    "first", "try", "repeat", "iterate", "push_neg", "contrapose!", "by_contra!", "and", "or", "not", "cases'", "induction'", "assumption'",
+    "simp_all_arith", "rotate_left", "rotate_right", "substs", "norm_fin", "norm_int", "pull_neg", "module_cast", "simp?", "exact?", "apply?", "rw?",
+    "tfae_have", "tfae_finish", "calc", "conv", "conv_lhs", "conv_rhs", "ring1", "set",
+})
 #: Tactics that say nothing about a proof's strategy.
-GENERIC = """simp intro exact apply rfl ring norm_num linarith omega decide trivial tauto aesop constructor use left right ext
-congr push_neg contrapose by_contra by_cases""".split()
+GENERIC = [
+    "simp", "intro", "exact", "apply", "rfl", "ring", "norm_num", "linarith", "omega", "decide", "trivial", "tauto", "aesop", "constructor", "use",
+    "left", "right", "ext", "congr", "push_neg", "contrapose", "by_contra", "by_cases",
+]
 
 ANCHOR = r"(?d)<a>(.*?)</a>"
 _WORD = r"[\p{L}\p{N}_]"
@@ -62,6 +65,7 @@ def normalised(c: Column | str) -> Column:
         return rf"(?s){_B}(?=(?>{body}{_B})(.*)\z)(?!(?:{kept})\1\z){body}{_B}"
 
     out = collapsed(c)
+    # fixed values: what a qualified or long name, a name with underscores, a short identifier and a number are
     out = F.regexp_replace(out, rf"{_B}(?:[A-Za-z][A-Za-z0-9_']*(?:\.[A-Za-z0-9_']+)+|[A-Z][A-Za-z0-9_']{{3,}}){_B}", "@")
     out = F.regexp_replace(out, unless_keyword(r"[a-z][a-z0-9']*(?:_[a-z0-9']+)+"), "@")
     out = F.regexp_replace(out, unless_keyword(r"[a-z][a-z0-9']{0,3}"), "?")

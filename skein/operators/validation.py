@@ -8,43 +8,43 @@ from pyspark.sql import functions as F
 #: Known bridges between fields, their two sides and substrings of declaration names that belong to a side.
 KNOWN_BRIDGES = {
     "Zorn / Choice / Well-Ordering": {
-        "Order/Set theory": "zorn Zorn WellOrder wellOrder WellFounded linearOrder_of",
-        "Logic/Foundations": "axiomOfChoice exists_maximal Classical.choice nonempty_iff_ne_empty WellOrderExtension",
+        "Order/Set theory": ["zorn", "Zorn", "WellOrder", "wellOrder", "WellFounded", "linearOrder_of"],
+        "Logic/Foundations": ["axiomOfChoice", "exists_maximal", "Classical.choice", "nonempty_iff_ne_empty", "WellOrderExtension"],
     },
     "Galois ↔ Covering spaces": {
-        "Field theory / Galois": "Galois galois GaloisGroup IsGalois GaloisCorrespondence separableClosure normalClosure",
-        "Topology / Covering": "CoveringSpace coveringSpace FundamentalGroup fundamentalGroup UniversalCover monodromy",
+        "Field theory / Galois": ["Galois", "galois", "GaloisGroup", "IsGalois", "GaloisCorrespondence", "separableClosure", "normalClosure"],
+        "Topology / Covering": ["CoveringSpace", "coveringSpace", "FundamentalGroup", "fundamentalGroup", "UniversalCover", "monodromy"],
     },
     "Stone duality": {
-        "Boolean algebra": "BooleanAlgebra BooleanRing Stone.ofBoolAlg BoolAlg Finset.toBoolAlg",
-        "Stone spaces": "StoneCech TotallySeparated totallySeparated Profinite profinite StoneSpace",
+        "Boolean algebra": ["BooleanAlgebra", "BooleanRing", "Stone.ofBoolAlg", "BoolAlg", "Finset.toBoolAlg"],
+        "Stone spaces": ["StoneCech", "TotallySeparated", "totallySeparated", "Profinite", "profinite", "StoneSpace"],
     },
     "Pontryagin duality": {
-        "Pontryagin / Characters": "Pontryagin pontryagin PontryaginDual characterGroup CharacterGroup AddChar addChar",
-        "Harmonic analysis": "fourierTransform FourierTransform fourier Fourier fourierSeries",
+        "Pontryagin / Characters": ["Pontryagin", "pontryagin", "PontryaginDual", "characterGroup", "CharacterGroup", "AddChar", "addChar"],
+        "Harmonic analysis": ["fourierTransform", "FourierTransform", "fourier", "Fourier", "fourierSeries"],
     },
     "Fixed-point theorems": {
-        "Topology (Brouwer)": "Brouwer brouwer fixedPoint FixedPoint NoRetraction",
-        "Category theory (Lawvere)": "Lawvere lawvere CategoryTheory.fixedPoint diagonal Diagonal",
+        "Topology (Brouwer)": ["Brouwer", "brouwer", "fixedPoint", "FixedPoint", "NoRetraction"],
+        "Category theory (Lawvere)": ["Lawvere", "lawvere", "CategoryTheory.fixedPoint", "diagonal", "Diagonal"],
     },
     "Gromov-Hausdorff": {
-        "Metric geometry": "GromovHausdorff gromovHausdorff hausdorffDist HausdorffDist ghDist",
-        "Topology": "MetricSpace Bounded TotallyBounded isCompact IsCompact",
+        "Metric geometry": ["GromovHausdorff", "gromovHausdorff", "hausdorffDist", "HausdorffDist", "ghDist"],
+        "Topology": ["MetricSpace", "Bounded", "TotallyBounded", "isCompact", "IsCompact"],
     },
     "Spectral theory ↔ Representation theory": {
-        "Spectral theory": "spectrum Spectrum resolvent Resolvent eigenspace Eigenspace spectral",
-        "Representation theory": "Representation representation IrreducibleRep CharacterOfRep Schur isotypic",
+        "Spectral theory": ["spectrum", "Spectrum", "resolvent", "Resolvent", "eigenspace", "Eigenspace", "spectral"],
+        "Representation theory": ["Representation", "representation", "IrreducibleRep", "CharacterOfRep", "Schur", "isotypic"],
     },
     "Lie algebras ↔ Lie groups": {
-        "Lie algebras": "LieAlgebra lieAlgebra LieBracket Engel engel nilpotent_of_forall",
-        "Lie groups": "LieGroup lieGroup expMap expMapSphere SmoothManifold smoothManifold",
+        "Lie algebras": ["LieAlgebra", "lieAlgebra", "LieBracket", "Engel", "engel", "nilpotent_of_forall"],
+        "Lie groups": ["LieGroup", "lieGroup", "expMap", "expMapSphere", "SmoothManifold", "smoothManifold"],
     },
 }
 
 
-def patterns(spark: SparkSession, known: dict[str, dict[str, str]] | None = None) -> DataFrame:
+def patterns(spark: SparkSession, known: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
     """``bridge, side, pattern`` with ``side`` 0 or 1."""
-    rows = [(b, i, p) for b, sides in (known or KNOWN_BRIDGES).items() for i, (_, ps) in enumerate(sides.items()) for p in ps.split()]
+    rows = [(b, i, p) for b, sides in (known or KNOWN_BRIDGES).items() for i, (_, ps) in enumerate(sides.items()) for p in ps]
     return spark.createDataFrame(rows, "bridge string, side int, pattern string")
 
 

@@ -16,7 +16,7 @@ from . import base
 
 QUERIES: dict = {}
 #: A hand-made pair of sides in this project's names, as the known bridges of mathematics don't occur in them.
-SIDES = {"mesh / fold": {"mesh": "mesh.", "fold": "fold."}, "norm / trace": {"norm": "norm_ .norm", "trace": "trace"}, "left / missing": {"left": "_left", "missing": "Brouwer"}}
+SIDES = {"mesh / fold": {"mesh": ["mesh."], "fold": ["fold."]}, "norm / trace": {"norm": ["norm_", ".norm"], "trace": ["trace"]}, "left / missing": {"left": ["_left"], "missing": ["Brouwer"]}}
 
 
 def query(f):

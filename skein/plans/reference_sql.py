@@ -74,7 +74,7 @@ def _pats(rows: list[tuple[str, int, str]]) -> str:
 
 
 _PATS = _pats(_SIDES)
-_KNOWN = _pats([(b, i, p) for b, sides in KNOWN_BRIDGES.items() for i, ps in enumerate(sides.values()) for p in ps.split()])
+_KNOWN = _pats([(b, i, p) for b, sides in KNOWN_BRIDGES.items() for i, ps in enumerate(sides.values()) for p in ps])
 _MT = f"{_PATS},\nmt as (select distinct bridge, side, name from cm, pats where contains(name, pattern))"
 _SPAN = """sd as (select bridge, count(*) filter (side = 0) n_a, count(*) filter (side = 1) n_b, coalesce(list(distinct cid) filter (side = 0), []) a, coalesce(list(distinct cid) filter (side = 1), []) b from (select distinct bridge from pats) left join (mt join cm using (name)) using (bridge) group by 1),
 sp as (select bridge, n_a, n_b, len(list_intersect(a, b)) clusters_overlap, len(list_distinct(a || b)) - len(list_intersect(a, b)) clusters_separated,

@@ -146,7 +146,7 @@ def test_edit_queries_take_all_of_a_cluster(spark):
 
 
 def test_validation_verdicts(spark):
-    known = {"b": {"x": "foo Foo", "y": "bar"}, "c": {"x": "foo", "y": "nothing"}, "d": {"x": "no", "y": "none"}}
+    known = {"b": {"x": ["foo", "Foo"], "y": ["bar"]}, "c": {"x": ["foo"], "y": ["nothing"]}, "d": {"x": ["no"], "y": ["none"]}}
     clusters = spark.createDataFrame([("foo1", 1), ("Foo", 2), ("bar", 3), ("foobar", 4)], "name string, cid int")
     pats = validation.patterns(spark, known)
     found = validation.matches(clusters.select("name"), pats)
