@@ -33,16 +33,16 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 
 #: Words of this operator, not tuned to a collection: what only filler has.
-SEEDS = frozenset("lorem ipsum dolor amet asdf qwer qwerty foo bar bla blah xxx".split())
+SEEDS = frozenset(["lorem", "ipsum", "dolor", "amet", "asdf", "qwer", "qwerty", "foo", "bar", "bla", "blah", "xxx"])
 #: How templating languages delimit a value to come; N is the variable's name.
 DELIMITERS = [r"\{\{\s*N\s*\}\}", r"\$!?\{\s*N\s*\}", r"#\{\s*N\s*\}", r"<<\s*N\s*>>", r"<%=?\s*N\s*%>", r"\{%\s*N\s*%\}", r"@@\s*N\s*@@", r"__N__", r"%\(N\)s", r"%N%", r"\[\[\s*N\s*\]\]"]
 #: Words of a request to fill in a value, before or after its name.
-ASK_BEFORE = "your insert enter add bitte hier ihr ihre remplir insérer compléter votre completar insertar rellenar introducir su".split()
+ASK_BEFORE = ["your", "insert", "enter", "add", "bitte", "hier", "ihr", "ihre", "remplir", "insérer", "compléter", "votre", "completar", "insertar", "rellenar", "introducir", "su"]
 ASK_AFTER = ["goes here", "here", "ergänzen", "einfügen", "eintragen", "ausfüllen", "ici", "à compléter", "à remplir", "aquí", "por completar"]
 #: What programs print for a missing value, and authors for one to come. ``None`` and ``N/A`` are answers too often.
-DEFAULTS = frozenset("undefined null (null) nan nil tbd tba todo fixme".split())
+DEFAULTS = frozenset(["undefined", "null", "(null)", "nan", "nil", "tbd", "tba", "todo", "fixme"])
 #: Tags that need no end.
-TAGS = frozenset("br hr img li input link meta p td th tr".split())
+TAGS = frozenset(["br", "hr", "img", "li", "input", "link", "meta", "p", "td", "th", "tr"])
 #: What a notice says is needed.
 SCRIPTS = r"(?i)\b(?:javascript|js|scripts?|skripte?n?)\b"
 
