@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
-#: Words of this operator, not tuned to a collection: what only filler has.
+#: Words that only filler has, chosen for this operator.
 SEEDS = frozenset(["lorem", "ipsum", "dolor", "amet", "asdf", "qwer", "qwerty", "foo", "bar", "bla", "blah", "xxx"])
 #: How templating languages delimit a value to come; N is the variable's name.
 DELIMITERS = [r"\{\{\s*N\s*\}\}", r"\$!?\{\s*N\s*\}", r"#\{\s*N\s*\}", r"<<\s*N\s*>>", r"<%=?\s*N\s*%>", r"\{%\s*N\s*%\}", r"@@\s*N\s*@@", r"__N__", r"%\(N\)s", r"%N%", r"\[\[\s*N\s*\]\]"]
