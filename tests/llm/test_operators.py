@@ -334,6 +334,24 @@ def test_program_against_its_dual_bound():
         assert -(-sum(s * d for s, d in demand.items()) // 2048) <= bound <= used <= 1.002 * bound
 
 
+def test_program_meets_its_dual_where_lengths_waste_room():
+    """Lengths that can't fill containers: the bound is beyond the sum of the lengths, and the packing meets it."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    wasteful = {k: c for low, high, n in [(1000, 1200, 5000), (600, 620, 500)] for k, c in Counter(rng.integers(low, high, n).tolist()).items()}
+    for demand, least in [({1025: 1000, 1: 10}, 1000), ({700: 1000, 1: 1000}, 500), ({1024: 7, 1025: 8, 3: 2}, 12), (wasteful, 4300)]:
+        k, c = np.array(sorted(demand)), np.array([demand[s] for s in sorted(demand)])
+        covered = Counter()
+        for at, many, times in packing.solve(k, c, 2048):
+            covered.update(dict(zip(k[at].tolist(), (many * times).tolist())))
+            assert times > 0 and k[at] @ many <= 2048
+        assert covered == Counter(demand)
+        used = max(first + n // held for _, _, n, first, held in packing.plan(demand))
+        bound = packing.dual_bound(demand)
+        assert least <= bound <= used <= 1.005 * bound
+
+
 def test_dual_bound_is_one():
     rng = random.Random(6)
     for _ in range(30):
